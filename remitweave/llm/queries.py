@@ -6,10 +6,10 @@ import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitweave.llm import binary_output, exact_dedup, mixing, packing, pii, simhash, token_counts
+from remitweave.llm import ann, binary_output, exact_dedup, language_id, mixing, packing, pii, quality, simhash, token_counts
 from remitweave.llm.common import documents, map_arrow
 
 #: Target shares of the mixed corpus. ``mixing.OTHERS``: all sources not named.
@@ -22,6 +22,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n; -1 without an id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=remainder(5) != 0)
+    found = quality.score(docs, model, ["doc_id"])
+    return found.select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), MIX_WEIGHTS)
 
@@ -29,6 +43,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = mixing.mix_sql("documents", MIX_WEIGHTS, "doc_id, text, lang, source, n_chars")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20).withColumnRenamed("id", "vec_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
     return found.withColumnRenamed("id", "doc_id")
@@ -39,6 +58,13 @@ def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs, learn=remainder(4) != 2)
+    found = language_id.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
@@ -82,9 +108,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_ann": op3_ann,
     "op4_packing": op4_packing,
     "op5_binary_output": op5_binary_output,
+    "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
