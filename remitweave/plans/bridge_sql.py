@@ -4,7 +4,7 @@ VIEWS = """
 gw0 AS (SELECT l_orderkey AS ok, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS txn_id,
                CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_cents, l_partkey AS pk, l_suppkey AS sk,
                CAST(l_linenumber AS BIGINT) AS ln, l_returnflag AS flag, CAST(epoch(l_shipdate) AS BIGINT) AS shipped FROM lineitem),
-gw1 AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY txn_id) AS place, min(shipped) OVER (PARTITION BY ok) AS start FROM gw0),
+gw1 AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY txn_id, amount_cents) AS place, min(shipped) OVER (PARTITION BY ok) AS start FROM gw0),
 gw2 AS (SELECT *, start + least(place - 1, 7) * 21600 AS ts,
                (['card', 'upi', 'netbanking', 'wallet', 'international_card'])[CAST(pk % 5 + 1 AS INTEGER)] AS method,
                CAST(CASE pk % 5 WHEN 1 THEN 0 WHEN 2 THEN 500 WHEN 4 THEN round_even(amount_cents * 300 / 10000, 0)

@@ -27,7 +27,7 @@ def code(prefix: str, key: str, width: int) -> Column:
 
 def gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payment per order line; an order's payments come six hours apart."""
-    order = Window.partitionBy("ok").orderBy("txn_id")
+    order = Window.partitionBy("ok").orderBy("txn_id", "amount_cents")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("ok"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("txn_id"),
