@@ -28,7 +28,8 @@ NEAR = 48
 #: Fixed patterns.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Matches of [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) are the successive fours of these runs' parts; so long digit runs are read once.
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -72,6 +73,15 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _fours(text: str) -> Iterator[tuple[int, list[str]]]:
+    for m in DOTTED.finditer(text):
+        if "." in m[0]:
+            parts, at = m[0].split("."), m.start()
+            for k in range(0, len(parts) - 3, 4):
+                yield at, parts[k : k + 4]
+                at += sum(map(len, parts[k : k + 4])) + 4
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -81,8 +91,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
     if "@" in text:
         for a, b in _emails(text):
             yield "email", a, b, True
-    for m in IP.finditer(text):
-        yield "ip", m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
+    for a, parts in _fours(text):
+        yield "ip", a, a + sum(map(len, parts)) + 3, all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             d = _digits(m[0])

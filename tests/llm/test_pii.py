@@ -29,6 +29,11 @@ def test_base_spans_match_the_patterns(text):
     assert base(text) == brute(text)
 
 
+def test_long_runs_are_read_once():
+    text = "1" * 300_000 + " " + "1.2.3.4.5.6.7.8.9." * 20_000 + "@" * 1000 + "+" + "(" * 200_000
+    assert base(text)[:2] == [("ip", 300_001, 300_008), ("ip", 300_009, 300_016)]
+
+
 def test_kinds():
     text = "Pay card 4111 1111 1111 1111, mail a.b@x.co.uk@y.de or +49 (30) 1234-567; host 10.0.0.256 10.0.0.1 é DE89 3704 0044 0532 0130 00 SSN 123-45-6789 ref 123-45-6780"
     assert base(text) == brute(text)
