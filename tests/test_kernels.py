@@ -142,6 +142,7 @@ def test_csv_feed(spark, tmp_path):
     assert found["p1"]["amount_cents"] == 123450 and found["p1"]["currency"] == "INR" and not found["p1"]["currency_stated"] and found["p1"]["extra"] == {"Note": "x"}
     assert found["p2"]["tz_confidence"] == "INFERRED" and str(found["p2"]["ts"]) == "2024-01-02 04:30:00" and found["p1"]["ref"] == "O1"
     assert [r["error"] for r in bad.collect()] == ["amount: not a plain amount"]
+    assert files.header_map(["Transactoin ID", "Net Amount (INR)", "Value Dt", "Narrations"])["amount"] == ["Net Amount (INR)"]
     with pytest.raises(ValueError, match="no column"):
         files.header_map(["a", "b"])
 
