@@ -2,7 +2,9 @@
 
 Each distinct fingerprint takes part once. Two fingerprints within ``radius`` bits agree wholly in one of
 radius + 1 ranges of bits, so fingerprints are dealt to *blocks* by the bits of each range; no link can lie
-outside a block, and none is lost. A radius too large for that has one block. A block is ordered by population
+outside a block, and none is lost. For a radius too large for that, blocks are documents with a least shingle in common
+under one of ``KEYS`` hash functions: two texts with Jaccard similarity s share none of them with probability
+(1 - s)**KEYS, 3e-6 at 0.8. So work grows with the documents, not with their pairs. A block is ordered by population
 count and cut into tiles of at most ``tile`` fingerprints. Tile pairs whose population counts (and, with
 ``min_ratio``, shingle counts) differ beyond what a link allows are skipped; the others go to tasks of
 their own, so that a large block is shared among many tasks. From a tile pair only links that join two of its
@@ -29,6 +31,8 @@ from remitweave.llm.components import components
 
 #: Fingerprints to a tile.
 TILE = 4096
+#: Least shingles by which texts are dealt to blocks, for wide radii.
+KEYS = 8
 #: Added to a hash before mixing, for each further 64 bits of a wide fingerprint.
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -58,6 +62,13 @@ def widen(h: np.ndarray, parts: int) -> np.ndarray:
     return np.stack(out)
 
 
+def least_hashes(h: np.ndarray) -> list[int]:
+    """The smallest hash under each of KEYS functions, as signed 64-bit numbers."""
+    if not len(h):
+        return [0]
+    return widen(h, KEYS + 1)[1:].min(1).view(np.int64).tolist()
+
+
 def majority(h: np.ndarray) -> int:
     """The 64 bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
@@ -74,17 +85,17 @@ def fingerprint(text: str | None, words_each: int = 3, parts: int = 1, seed: int
 
 
 def fingerprints(docs: DataFrame, *, words_each: int = 3, parts: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (hex of ``parts`` 64-bit words), n_shingles."""
+    """id, fp (hex of ``parts`` 64-bit words), n_shingles, keys (least shingles; for wide fingerprints only)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [fingerprint(t, words_each, parts) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(["".join(f"{w:016x}" for w in x) for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
-            ["id", "fp", "n_shingles"],
-        )
+        hashes = [shingle_hashes(t, words_each) for t in batch.column(1).to_pylist()]
+        fps = ["".join(f"{majority(x):016x}" for x in widen(h, parts)) for h in hashes]
+        keys = [least_hashes(h) if parts > 1 else [] for h in hashes]
+        columns = [batch.column(0), pa.array(fps, pa.string()), pa.array([len(h) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "fp", "n_shingles", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp string, n_shingles bigint")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp string, n_shingles bigint, keys array<bigint>")
 
 
 def words_of(fps: list[str]) -> np.ndarray:
@@ -178,7 +189,8 @@ def _streamed(radius: int, min_ratio: float) -> Callable[[Iterator[pa.RecordBatc
 
 
 def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float = 0.0, tile: int = TILE) -> DataFrame:
-    """(a, b): enough links among fingerprints to join all that are within ``radius``. ``distinct``: fp, n_shingles."""
+    """(a, b): enough links among fingerprints to join all that are within ``radius`` in a block. ``distinct``: fp, n_shingles, and
+    keys, by which blocks are made if the radius leaves ranges of less than 8 bits (without keys there is one block)."""
     total = 64 * parts
     n_ranges = radius + 1 if total // (radius + 1) >= 8 else 1
     bits = F.concat(*[F.lpad(F.conv(F.substring("fp", 16 * i + 1, 16), 16, 2), 64, "0") for i in range(parts)])
@@ -189,7 +201,7 @@ def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float
     rows = (
         distinct.withColumn("_bits", bits)
         .withColumn("ones", F.length(F.replace("_bits", F.lit("0"), F.lit(""))))
-        .withColumn("block", F.explode(keys))
+        .withColumn("block", F.explode(F.col("keys").cast("array<string>") if n_ranges == 1 and "keys" in distinct.columns else keys))
         .select("block", "fp", "n_shingles", "ones")
     )
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -263,14 +275,13 @@ def near_duplicates(
     share of the larger one's shingles.
     """
     rows = materialise(fingerprints(docs, words_each=words_each, parts=parts, id_col=id_col, text_col=text_col))
-    if min_ratio > 0:
-        distinct = rows.groupBy("fp", "n_shingles").agg(F.min("id").alias("least"))
-        # one row per fingerprint: of several sizes the smallest stands for all, as they are linked in any case
-        distinct = distinct.groupBy("fp").agg(F.min("n_shingles").alias("n_shingles"), F.min("least").alias("least"))
-    else:
-        distinct = rows.groupBy("fp").agg(F.min("n_shingles").alias("n_shingles"), F.min("id").alias("least"))
-    distinct = materialise(distinct)
-    roots = components(links(distinct.select("fp", "n_shingles"), radius=radius, parts=parts, min_ratio=min_ratio, tile=tile))
+    # one row per fingerprint: of several texts that of fewest shingles stands for all, as they are linked in any case
+    distinct = materialise(
+        rows.groupBy("fp")
+        .agg(F.min(F.struct("n_shingles", "keys")).alias("s"), F.min("id").alias("least"))
+        .select("fp", "s.n_shingles", "s.keys", "least")
+    )
+    roots = components(links(distinct.select("fp", "n_shingles", "keys"), radius=radius, parts=parts, min_ratio=min_ratio, tile=tile))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = joined.join(least, "root").select("fp", "component_id")
