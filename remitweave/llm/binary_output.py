@@ -66,7 +66,7 @@ def _tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return materialise(map_arrow(docs.select(id_col, text_col), run, f"id {kind}, n bigint, ids binary"))
+    return materialise(map_arrow(docs.select(id_col, text_col), run, f"id {kind}, n bigint, ids binary", memory="tokens"), compression="zstd")
 
 
 def _narrow(ids: bytes) -> bytes:
