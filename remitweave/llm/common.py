@@ -43,12 +43,29 @@ def materialise(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a worker process remembers between tasks, by the operator that it is for.
+_remembered: dict[str, dict] = {}
+
+
+def remembered(operator: str | None) -> dict:
+    """A worker's memory for one operator. Spark reuses workers: what others left there goes."""
+    for name in [x for x in _remembered if x != operator]:
+        _remembered.pop(name).clear()
+    return _remembered.setdefault(operator, {}) if operator else {}
+
+
 def map_arrow(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, rows: int = 512
+    df: DataFrame,
+    fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table],
+    schema: str,
+    rows: int = 512,
+    memory: str | None = None,
 ) -> DataFrame:
-    """``mapInArrow`` in slices of at most ``rows`` rows, so that a Python worker holds few texts at once."""
+    """``mapInArrow`` in slices of at most ``rows`` rows, so that a Python worker holds few texts at once.
+    ``memory``: the operator whose memory the worker keeps (see ``remembered``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(memory)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 out = fn(batch.slice(at, rows))

@@ -18,12 +18,11 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from remitweave.llm.common import map_arrow
+from remitweave.llm.common import map_arrow, remembered
 
 MARK = "▁"
 #: Words that a worker remembers at most; then it starts anew. Counts don't depend on it.
 REMEMBERED = 1_000_000
-_models: dict[str, UnigramCounter] = {}
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -114,9 +113,10 @@ class UnigramCounter:
 
 def counter(path: str) -> UnigramCounter:
     """One for each worker process and vocabulary."""
-    if path not in _models:
-        _models[path] = UnigramCounter(zipf_scores(load_pieces(path)))
-    return _models[path]
+    known = remembered("token_counts")
+    if path not in known:
+        known[path] = UnigramCounter(zipf_scores(load_pieces(path)))
+    return known[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,4 +135,4 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, n_words bigint, n_tokens bigint, score double")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, n_words bigint, n_tokens bigint, score double", memory="token_counts")

@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from remitweave.llm.common import remembered
+
 #: White space as either Python or the tokenizers see it; at a space next to these a text isn't cut.
 CUT = re.compile(r"(?<=[^\s\x85]) (?=[^\s\x85])")
 CONTROL = re.compile(r"[\x1c-\x1f]")
@@ -21,7 +23,6 @@ CONTROL = re.compile(r"[\x1c-\x1f]")
 REMEMBERED = 1_500_000
 #: Pieces to a text that the tokenizer gets.
 BATCH = 64
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
 def lines_of(text: str) -> list[list[str]] | None:
@@ -126,6 +127,7 @@ class PieceEncoder:
 
 def encoder(path: str, style: str) -> PieceEncoder:
     """One for each worker process and vocabulary."""
-    if (path, style) not in _encoders:
-        _encoders[path, style] = PieceEncoder(path, style)
-    return _encoders[path, style]
+    known = remembered("tokens")
+    if (path, style) not in known:
+        known[path, style] = PieceEncoder(path, style)
+    return known[path, style]
