@@ -21,7 +21,7 @@ def _pool(s, d):
 
 def _diagnosed(s, d):
     pool = _pool(s, d)
-    return exceptions.diagnose(pool.filter("source = 'gateway' AND pk % 3 = 0"), pool)
+    return exceptions.diagnose(exceptions.unmatched(pool, "gateway"), pool)
 
 
 POOL = """pool AS (SELECT source, txn_id, CASE WHEN ok % 5 = 0 THEN '' WHEN ok % 5 = 1 THEN ref || '-' || txn_id ELSE ref END AS ref, amount_cents, ts, ok, pk FROM gateway

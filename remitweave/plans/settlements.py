@@ -31,7 +31,7 @@ def flagship(spark, sf_dir):
 def _pool(spark, sf_dir):
     f = Feeds(spark, sf_dir)
     both = f.gateway.select("source", "txn_id", "ref", "memo", "amount_cents", "ts", "ok").unionByName(f.ledger.select("source", "txn_id", "ref", "memo", "amount_cents", "ts", "ok"))
-    return f, linkage.pools(f.settlements.filter("ok % 4 < 3"), both, "ok")
+    return f, linkage.pools(f.settlements, both, "ok")
 
 
 REPORT = """sums AS (SELECT ok, count(*) AS n_members, CAST(sum(amount_cents) AS BIGINT) AS gross_cents, CAST(sum(amount_cents - fee_cents - gst_cents) AS BIGINT) AS computed FROM gateway GROUP BY ok),
