@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from remitweave.operators import similarity
+
 UNKNOWN_PAYER = "UNKNOWN_PAYER"
 #: Words that raise a keyword alert.
 KEYWORDS = ("bomb", "terror", "isis", "taliban", "crypto", "hawala", "donation", "bribe")
@@ -151,8 +153,32 @@ def sanctions_exact(txns: DataFrame, listed: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def findings(txns: DataFrame, at: Limits = Limits()) -> DataFrame:
-    """All rules without a list: txn_id, rule_id, severity, action, basis. A window rule reports its first payment."""
+def concentrated(txns: DataFrame, at: Limits = Limits()) -> DataFrame:
+    """The first payment of each payer that ``concentration`` reports."""
+    first = Window.partitionBy("payer").orderBy("ts", "txn_id")
+    rows = with_payer(txns).join(concentration(txns, at).select("payer"), "payer", "left_semi")
+    return rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("txn_id")
+
+
+def circular(txns: DataFrame, hop: int = DAY) -> DataFrame:
+    """All payments of all cycles. Parties are compared folded."""
+    edges = txns.select("txn_id", folded(F.col("payer_id")).alias("payer"), folded(F.col("payee_id")).alias("payee"), "ts")
+    found = cycles(edges.filter("payer <> '' AND payee <> ''"), hop=hop)
+    return found.select(F.explode(F.split("txn_ids", ",")).alias("txn_id")).distinct()
+
+
+def listed_parties(txns: DataFrame, listed: DataFrame) -> DataFrame:
+    """txn_id, rule_id: exact hits, and names close to a listed one, which flag only."""
+    names = listed.select(folded(F.col("name")).alias("name"))
+    sides = txns.select("txn_id", F.explode(F.array(folded(F.col("payer_id")), folded(F.col("payee_id")))).alias("party")).filter("party <> ''")
+    near = similarity.similar_names(sides.select("party"), names).select("party").distinct()
+    close = sides.join(near, "party").select("txn_id", F.lit("SANCTIONS_POTENTIAL_MATCH").alias("rule_id"))
+    return sanctions_exact(txns, listed).select("txn_id", "rule_id").unionByName(close).distinct()
+
+
+def findings(txns: DataFrame, at: Limits = Limits(), *, words: tuple[str, ...] = KEYWORDS, listed: DataFrame | None = None, hop: int = DAY) -> DataFrame:
+    """All rules: txn_id, rule_id, severity, action, basis. A window or concentration rule reports its first payment, a cycle
+    all of its payments. listed: name, low_quality; without it, the rules of listed parties are left out."""
     rules = {
         "STRUCTURING_PATTERN": structuring(txns, at).select(F.col("first_id").alias("txn_id")),
         "CTR_THRESHOLD": cash_single(txns, at).select("txn_id"),
@@ -160,11 +186,13 @@ def findings(txns: DataFrame, at: Limits = Limits()) -> DataFrame:
         "HIGH_VELOCITY": velocity(txns, at).select(F.col("first_id").alias("txn_id")),
         "CROSS_BORDER_LIMIT": cross_border(txns, at).select("txn_id"),
         "DORMANT_ACCOUNT_SPIKE": dormant_spike(txns, at).select("txn_id"),
-        "KEYWORD_ALERT": keywords(txns).select("txn_id"),
+        "KEYWORD_ALERT": keywords(txns, words).select("txn_id"),
         "DUPLICATE_TX": duplicates(txns).select("txn_id"),
         "LIMIT_EXCEEDED": extreme(txns, at).select("txn_id"),
+        "CONCENTRATION_RISK": concentrated(txns, at),
+        "CIRCULAR_FLOW": circular(txns, hop),
     }
-    out = None
+    out = listed_parties(txns, listed) if listed is not None else None
     for rule, rows in rules.items():
         rows = rows.select("txn_id", F.lit(rule).alias("rule_id"))
         out = rows if out is None else out.unionByName(rows)

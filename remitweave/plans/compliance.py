@@ -67,15 +67,14 @@ def _flow(f):
     return lambda spark, sf: f(bridge.flows(spark, sf), LIMITS)
 
 
-def _three(spark, sf):
-    found = c.findings(bridge.flows(spark, sf), LIMITS)
-    return found.filter(F.col("rule_id").isin("LIMIT_EXCEEDED", "CROSS_BORDER_LIMIT", "CTR_THRESHOLD"))
-
-
 def _listed(spark):
     return spark.createDataFrame(LISTED, "name string, low_quality boolean")
 
 
+def _found(spark, sf):
+    return c.findings(bridge.flows(spark, sf), LIMITS, words=WORDS, listed=_listed(spark), hop=30 * c.DAY)
+
+
 def _alike(spark, sf):
     """Coarse amounts, times and parties, so that some payments repeat."""
     rows = bridge.gateway(spark, sf)
@@ -96,8 +95,8 @@ QUERIES = {
     "aml_concentration": _flow(c.concentration),
     "aml_extreme_amount": _flow(c.extreme),
     "aml_sanctions_exact": lambda s, d: c.sanctions_exact(bridge.flows(s, d), _listed(s)),
-    "aml_circular_flow": lambda s, d: c.cycles(bridge.edges(s, d), legs=(3, 4), hop=30 * c.DAY),
-    "aml_safe": lambda s, d: c.safe(bridge.flows(s, d), _three(s, d)).select("txn_id", "payer_id", "amount_cents"),
-    "aml_review": lambda s, d: c.review(_three(s, d), bridge.flows(s, d)),
-    "aml_disposition": lambda s, d: c.disposition(_three(s, d)).select("txn_id", "rule_id", "disposition"),
+    "aml_circular_flow": lambda s, d: c.cycles(bridge.edges(s, d), legs=(3, 5), hop=30 * c.DAY),
+    "aml_safe": lambda s, d: c.safe(bridge.flows(s, d), _found(s, d)).select("txn_id", "payer_id", "amount_cents"),
+    "aml_review": lambda s, d: c.review(_found(s, d), bridge.flows(s, d)),
+    "aml_disposition": lambda s, d: c.disposition(_found(s, d)).select("txn_id", "rule_id", "disposition"),
 }
