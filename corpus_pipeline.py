@@ -13,8 +13,9 @@ from remitweave.llm.common import documents, materialise
 from remitweave.llm.queries import MIX_WEIGHTS, vocabulary
 
 #: Near copies: five-word shingles, 256-bit fingerprints. Two documents whose shingle sets have a Jaccard similarity of
-#: 0.8 have a cosine of 0.89, so their fingerprints differ in 39 bits on average (standard deviation 6).
-NEAR = {"words_each": 5, "parts": 4, "radius": 48, "min_ratio": 0.75}
+#: 0.8 have a cosine of 0.89, so their fingerprints differ in 39 bits on average (standard deviation 6). Pairs within 60 bits are
+#: candidates; a link needs that similarity of the sets themselves, and so sets of sizes in that ratio.
+NEAR = {"words_each": 5, "parts": 4, "radius": 60, "min_ratio": 0.8, "min_jaccard": 0.8}
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by near-equal fingerprints."""
+    """Keeps one document of each group linked by a Jaccard similarity of 0.8."""
     return simhash.survivors(docs, **NEAR)
 
 

@@ -10,6 +10,9 @@ count and cut into tiles of at most ``tile`` fingerprints. Tile pairs whose popu
 their own, so that a large block is shared among many tasks. From a tile pair only links that join two of its
 groups so far come back, fewer than it has fingerprints.
 
+With ``min_jaccard``, fingerprints are those of the distinct shingles, and close ones are candidates only: a link needs that
+Jaccard similarity of the two sets of shingles. Texts with one fingerprint but other shingles are then parted as well.
+
 Defined cases: null text counts as empty; a text without words has fingerprint zero, linked like any other; one with
 fewer words than a shingle has its whole word sequence as its only shingle; repeated rows share a class;
 null identifiers follow all others when the smallest is taken; an empty table gives an empty result.
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitweave.llm.common import map_arrow, materialise
+from remitweave.llm.common import flag_by_bits, id_bits, map_arrow, materialise
 from remitweave.llm.components import components
 
 #: Fingerprints to a tile.
@@ -84,18 +87,24 @@ def fingerprint(text: str | None, words_each: int = 3, parts: int = 1, seed: int
     return [majority(x) for x in widen(h, parts)], len(h)
 
 
-def fingerprints(docs: DataFrame, *, words_each: int = 3, parts: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (hex of ``parts`` 64-bit words), n_shingles, keys (least shingles; for wide fingerprints only)."""
+def fingerprints(docs: DataFrame, *, words_each: int = 3, parts: int = 1, sets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp (hex of ``parts`` 64-bit words), n_shingles, keys (least shingles; for wide fingerprints only).
+
+    ``sets``: of distinct shingles; fp also has ':' and a hash of the set, and a column ``shingles`` has their sorted hashes.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [shingle_hashes(t, words_each) for t in batch.column(1).to_pylist()]
+        hashes = [np.unique(h) for h in hashes] if sets else hashes
         fps = ["".join(f"{majority(x):016x}" for x in widen(h, parts)) for h in hashes]
         keys = [least_hashes(h) if parts > 1 else [] for h in hashes]
+        raw = [h.tobytes() for h in hashes] if sets else []
+        fps = [f"{f}:{xxhash.xxh64_hexdigest(x)}" for f, x in zip(fps, raw, strict=True)] if sets else fps
         columns = [batch.column(0), pa.array(fps, pa.string()), pa.array([len(h) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["id", "fp", "n_shingles", "keys"])
+        return pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if sets else [])], ["id", "fp", "n_shingles", "keys", *["shingles"] * sets])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp string, n_shingles bigint, keys array<bigint>")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp string, n_shingles bigint, keys array<bigint>" + ", shingles binary" * sets)
 
 
 def words_of(fps: list[str]) -> np.ndarray:
@@ -139,9 +148,33 @@ class Groups:
         return x != y
 
 
-def tile_links(fps: list[str], sizes: np.ndarray, tiles: np.ndarray, radius: int, min_ratio: float) -> list[tuple[str, str]]:
+class Sets:
+    """Sets of shingles, as the bytes of their hashes."""
+
+    def __init__(self, raw: list[bytes]):
+        held = [np.frombuffer(x, np.uint64) for x in raw]
+        values, ids = np.unique(np.concatenate(held), return_inverse=True)
+        self.ids = np.split(ids, np.cumsum([len(x) for x in held])[:-1])
+        self.mark = np.zeros(len(values), bool)
+
+    def alike(self, p: int, others: list[int], least: float) -> list[int]:
+        """Those of ``others`` whose Jaccard similarity to p is ``least`` at least."""
+        others = [q for q in others if len(self.ids[q])]
+        if not others or not len(self.ids[p]):
+            return []
+        sizes = np.array([len(self.ids[q]) for q in others])
+        self.mark[self.ids[p]] = True
+        both = np.add.reduceat(self.mark[np.concatenate([self.ids[q] for q in others])].astype(np.int64), np.cumsum(sizes) - sizes)
+        self.mark[self.ids[p]] = False
+        return [q for q, ok in zip(others, both / (sizes + len(self.ids[p]) - both) >= least, strict=True) if ok]
+
+
+def tile_links(
+    fps: list[str], sizes: np.ndarray, tiles: np.ndarray, radius: int, min_ratio: float, shingles: list[bytes] | None = None, min_jaccard: float = 0.0
+) -> list[tuple[str, str]]:
     """Links of one tile with itself (one value in ``tiles``) or of two tiles with each other."""
-    words = words_of(fps)
+    words = words_of([f.partition(":")[0] for f in fps])
+    sets = Sets(shingles) if shingles else None
     first = np.flatnonzero(tiles == tiles.min())
     second = np.flatnonzero(tiles != tiles.min()) if tiles.min() != tiles.max() else first
     groups, out = Groups(len(fps)), []
@@ -156,23 +189,32 @@ def tile_links(fps: list[str], sizes: np.ndarray, tiles: np.ndarray, radius: int
         i, j = close_pairs(words[rows], words[near], radius)
         x, y = rows[i], near[j]
         fit = (x != y) & (np.minimum(sizes[x], sizes[y]) >= min_ratio * np.maximum(sizes[x], sizes[y]))
+        if sets:
+            x, y = x[fit], y[fit]
+            for k in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
+                p = int(x[k[0]])
+                # those already in p's group need no link
+                for q in sets.alike(p, [q for q in y[k].tolist() if groups.root(q) != groups.root(p)], min_jaccard):
+                    if groups.join(p, q):
+                        out.append((fps[p], fps[q]))
+            continue
         for p, q in zip(x[fit].tolist(), y[fit].tolist(), strict=True):
             if groups.join(p, q):
                 out.append((fps[p], fps[q]))
     return out
 
 
-def _streamed(radius: int, min_ratio: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _streamed(radius: int, min_ratio: float, min_jaccard: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks that are one tile each, many to a task; rows come block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[object, str, int]] = []
+        held: list[tuple] = []
 
         def links() -> list[tuple[str, str]]:
             if len(held) < 2:
                 return []
             sizes = np.array([x[2] for x in held])
-            return tile_links([x[1] for x in held], sizes, np.zeros(len(held), int), radius, min_ratio)
+            return tile_links([x[1] for x in held], sizes, np.zeros(len(held), int), radius, min_ratio, [x[3] for x in held] if min_jaccard else None, min_jaccard)
 
         for batch in batches:
             out = []
@@ -188,9 +230,9 @@ def _streamed(radius: int, min_ratio: float) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float = 0.0, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float = 0.0, tile: int = TILE, min_jaccard: float = 0.0, shingles: DataFrame | None = None) -> DataFrame:
     """(a, b): enough links among fingerprints to join all that are within ``radius`` in a block. ``distinct``: fp, n_shingles, and
-    keys, by which blocks are made if the radius leaves ranges of less than 8 bits (without keys there is one block)."""
+    keys, by which blocks are made if the radius leaves ranges of less than 8 bits (without keys there is one block). ``shingles``: fp and shingles, for ``min_jaccard``; read for the fingerprints of shared blocks only."""
     total = 64 * parts
     n_ranges = radius + 1 if total // (radius + 1) >= 8 else 1
     bits = F.concat(*[F.lpad(F.conv(F.substring("fp", 16 * i + 1, 16), 16, 2), 64, "0") for i in range(parts)])
@@ -206,8 +248,16 @@ def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float
     )
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = materialise(rows.join(sizes, "block"))
-    small = rows.filter(F.col("n") <= tile).repartition("block").sortWithinPartitions("block").select("block", "fp", "n_shingles")
-    found = small.mapInArrow(_streamed(radius, min_ratio), "a string, b string")
+    if min_jaccard:
+        needed = rows.select("fp").distinct()
+        bits_ = materialise(id_bits(needed, F.col("fp"), 24))
+        maybe = flag_by_bits(shingles, F.col("fp"), bits_, 24, "_maybe").filter("_maybe").select("fp", "shingles")
+        sets = materialise(maybe.join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    else:
+        sets = None
+    small = rows.filter(F.col("n") <= tile).select("block", "fp", "n_shingles")
+    small = small.join(sets, "fp").select("block", "fp", "n_shingles", "shingles") if min_jaccard else small
+    found = small.repartition("block").sortWithinPartitions("block").mapInArrow(_streamed(radius, min_ratio, min_jaccard), "a string, b string")
 
     # a larger block: its fingerprints are cut into tiles of like counts, each tile pair that may hold a link is a group
     width = "block, level, part"
@@ -220,10 +270,10 @@ def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float
     spread = spread.join(counted, ["block", "level"]).withColumn(
         "part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / F.lit(tile))).cast("int")
     )
-    return found.unionByName(_tile_pairs(spread, radius, min_ratio, tile, width)) if not spread.isEmpty() else found
+    return found.unionByName(_tile_pairs(spread, radius, min_ratio, tile, width, min_jaccard, sets)) if not spread.isEmpty() else found
 
 
-def _tile_pairs(spread: DataFrame, radius: int, min_ratio: float, tile: int, width: str) -> DataFrame:
+def _tile_pairs(spread: DataFrame, radius: int, min_ratio: float, tile: int, width: str, min_jaccard: float, sets: DataFrame | None) -> DataFrame:
     """Tiles: consecutive (size level, population count, part) cells of a block, gathered to ``tile`` rows."""
     cells = spread.groupBy("block", "level", "part").agg(
         F.count(F.lit(1)).alias("m"), F.min("ones").alias("lo"), F.max("ones").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
@@ -243,10 +293,11 @@ def _tile_pairs(spread: DataFrame, radius: int, min_ratio: float, tile: int, wid
     ).select("x.block", F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
     needed = pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
     rows = spread.join(numbered.select("block", "level", "part", "tile"), ["block", "level", "part"]).select("block", "tile", "fp", "n_shingles")
+    rows = rows.join(sets, "fp") if min_jaccard else rows
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fp")
-        found = tile_links(pdf.fp.tolist(), pdf.n_shingles.to_numpy(), pdf.tile.to_numpy(), radius, min_ratio)
+        found = tile_links(pdf.fp.tolist(), pdf.n_shingles.to_numpy(), pdf.tile.to_numpy(), radius, min_ratio, pdf.shingles.tolist() if min_jaccard else None, min_jaccard)
         return pd.DataFrame(found, columns=["a", "b"])
 
     return rows.join(needed, ["block", "tile"]).groupBy("block", "i", "j").applyInPandas(compare, "a string, b string")
@@ -265,6 +316,7 @@ def near_duplicates(
     radius: int = 2,
     parts: int = 1,
     min_ratio: float = 0.0,
+    min_jaccard: float = 0.0,
     tile: int = TILE,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -272,20 +324,20 @@ def near_duplicates(
     """Per document: id, fp, component_id (the smallest identifier reachable over links, itself included).
 
     ``parts``: fingerprint length in 64-bit words. ``min_ratio``: two documents link only if the smaller has that
-    share of the larger one's shingles.
+    share of the larger one's shingles. ``min_jaccard``: they link only if their sets of shingles are that alike.
     """
-    rows = materialise(fingerprints(docs, words_each=words_each, parts=parts, id_col=id_col, text_col=text_col))
+    rows = materialise(fingerprints(docs, words_each=words_each, parts=parts, sets=min_jaccard > 0, id_col=id_col, text_col=text_col))
     # one row per fingerprint: of several texts that of fewest shingles stands for all, as they are linked in any case
     distinct = materialise(
         rows.groupBy("fp")
         .agg(F.min(F.struct("n_shingles", "keys")).alias("s"), F.min("id").alias("least"))
         .select("fp", "s.n_shingles", "s.keys", "least")
     )
-    roots = components(links(distinct.select("fp", "n_shingles", "keys"), radius=radius, parts=parts, min_ratio=min_ratio, tile=tile))
+    roots = components(links(distinct.select("fp", "n_shingles", "keys"), radius=radius, parts=parts, min_ratio=min_ratio, tile=tile, min_jaccard=min_jaccard, shingles=rows if min_jaccard else None))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = joined.join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("id", "fp", "component_id")
+    return rows.drop("shingles").join(by_fp, "fp").select("id", F.substring_index("fp", ":", 1).alias("fp"), "component_id")
 
 
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 24, **parameters) -> DataFrame:
@@ -294,8 +346,6 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Documents alone in their component pass without a shuffle: a bit filter of fixed size over the ids that go
     tells which ones need the exact join.
     """
-    from remitweave.llm.common import flag_by_bits, id_bits
-
     found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters))
     gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
     bits = materialise(id_bits(gone, F.col("id"), log2_bits))
