@@ -34,16 +34,16 @@ _letters: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Which of the characters below U+10000 are letters; those above count as letters."""
+    """Which characters are letters."""
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(1 << 16)]))
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _letters[0]
 
 
 def places(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature places (ascending) and their counts; none if the text has no letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters()[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    is_letter = letters()[codes]
     if not is_letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.where(is_letter, codes, 32).astype(np.uint64)
