@@ -178,10 +178,11 @@ def tile_links(
     first = np.flatnonzero(tiles == tiles.min())
     second = np.flatnonzero(tiles != tiles.min()) if tiles.min() != tiles.max() else first
     groups, out = Groups(len(fps)), []
-    order = np.argsort(np.bitwise_count(words[second]).sum(1), kind="stable")
+    order = np.argsort(np.bitwise_count(words[second]).sum(1, dtype=np.int64), kind="stable")
     second = second[order]
-    counts = np.bitwise_count(words[second]).sum(1)
-    mine = np.bitwise_count(words[first]).sum(1)
+    # signed: less the radius they may be negative
+    counts = np.bitwise_count(words[second]).sum(1, dtype=np.int64)
+    mine = np.bitwise_count(words[first]).sum(1, dtype=np.int64)
     for at in np.argsort(mine, kind="stable").reshape(-1, 1) if len(first) < 64 else np.array_split(np.argsort(mine, kind="stable"), len(first) // 64):
         rows = first[at]
         lo, hi = np.searchsorted(counts, [mine[at].min() - radius, mine[at].max() + radius + 1])
