@@ -244,7 +244,7 @@ def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float
     rows = (
         distinct.withColumn("_bits", bits)
         .withColumn("ones", F.length(F.replace("_bits", F.lit("0"), F.lit(""))))
-        .withColumn("block", F.explode(F.col("keys").cast("array<string>") if n_ranges == 1 and "keys" in distinct.columns else keys))
+        .withColumn("block", F.explode(F.when(F.size("keys") > 0, F.col("keys").cast("array<string>")).otherwise(keys) if n_ranges == 1 and "keys" in distinct.columns else keys))
         .select("block", "fp", "n_shingles", "ones")
     )
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -1,0 +1,23 @@
+import random
+
+import pytest
+
+from remitweave.llm import simhash
+
+
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_one_part_and_a_wide_radius_match_brute_force(spark, tile):
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        near = list(base)
+        near[rng.randrange(120)] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    fps = {i: simhash.fingerprint(t)[0][0] for i, t in rows}
+    want = {i: i for i in fps}
+    for _ in fps:
+        want = {i: min(want[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 8) for i in fps}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, radius=8, tile=tile).collect()}
+    assert found == want and len(set(want.values())) < len(rows)
