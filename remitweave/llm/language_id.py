@@ -156,18 +156,17 @@ def train(docs: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id
     rows = rows.filter(F.col("_learn") & F.col("lang").isNotNull()).drop("_learn")
     df, n = document_frequencies(rows.select("text"))
     order = Window.partitionBy("lang").orderBy("_h", "id")
-    # hashes up to where about four times the wanted number lie, by each language's count: the window then sorts few rows
+    # hashes up to where about four times the wanted number lie, by each language's count of ids: the window then sorts few rows
     # of even a language that holds most of the corpus
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    ids = rows.filter(F.col("id").isNotNull()).select("id", "lang").distinct()
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     chosen = (
-        rows.filter(F.col("id").isNotNull())
-        .select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("_h"))
+        ids.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("_h"))
         .join(F.broadcast(sizes), "lang")  # a row for each language
         .filter(F.col("_h") * F.col("_n").cast("double") < float(4 * PER_LANGUAGE << 30))
         .withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") <= PER_LANGUAGE)
         .select("id", "lang")
-        .distinct()
     )
     # PER_LANGUAGE ids for each language: safe to broadcast
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "id"])
