@@ -85,14 +85,22 @@ def id_bits(ids: DataFrame, col: Column, log2_bits: int) -> DataFrame:
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def flag_by_bits(df: DataFrame, col: Column, bits: DataFrame, log2_bits: int, name: str) -> DataFrame:
-    """``df`` with boolean ``name``: false means that ``col`` is surely not in the filter."""
-    pos = F.pmod(F.xxhash64(col), F.lit(1 << log2_bits))
-    hit = F.coalesce(F.expr("shiftright(_bits, cast(_pos % 64 as int)) & 1L"), F.lit(0)) == 1
+    """``df`` with boolean ``name``, which no column of ``df`` may have: false means that ``col`` is surely not in the filter."""
+    pos, word, held = (fresh(df, x) for x in ("_pos", "_word", "_bits"))
+    hit = F.coalesce(F.expr(f"shiftright(`{held}`, cast(`{pos}` % 64 as int)) & 1L"), F.lit(0)) == 1
     return (
-        df.withColumn("_pos", pos)
-        .withColumn("_word", F.shiftright("_pos", 6))
-        .join(F.broadcast(bits), "_word", "left")
+        df.withColumn(pos, F.pmod(F.xxhash64(col), F.lit(1 << log2_bits)))
+        .withColumn(word, F.shiftright(pos, 6))
+        .join(F.broadcast(bits.toDF(word, held)), word, "left")
         .withColumn(name, hit)
-        .drop("_pos", "_word", "_bits")
+        .drop(pos, word, held)
     )

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitweave.llm.common import flag_by_bits, id_bits, materialise
+from remitweave.llm.common import flag_by_bits, fresh, id_bits, materialise
 
 #: The characters that don't count: space and U+0009 to U+000D.
 BLANKS = " \t\n\v\f\r"
@@ -79,8 +79,9 @@ def assign(
 
     hits = runs.join(level.filter("n > 1").select("key"), "key", "left_semi")
     bits = materialise(id_bits(hits, F.col("id"), log2_bits))
-    maybe = flag_by_bits(docs.select(id_col, text_col), F.col(id_col), bits, log2_bits, "_maybe").filter("_maybe")
-    seen = _entries(maybe, id_col, text_col, key_bytes)
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    maybe = flag_by_bits(plain, F.col("id"), bits, log2_bits, "_maybe").filter("_maybe")
+    seen = _entries(maybe, "id", "text", key_bytes)
     clashes = materialise(
         seen.groupBy("key").agg(F.min("_norm").alias("a"), F.max("_norm").alias("b")).filter("a != b").select("key")
     )
@@ -99,23 +100,25 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` that stay, with its columns. Documents outside the hit filter pass without a shuffle."""
     found = materialise(assign(docs, id_col=id_col, text_col=text_col, log2_bits=log2_bits))
     bits = materialise(id_bits(found.filter("group_size > 1"), F.col("id"), log2_bits))
-    flagged = flag_by_bits(docs, F.col(id_col), bits, log2_bits, "_maybe")
+    name = fresh(docs, "_maybe")
+    flagged = flag_by_bits(docs, F.col(id_col), bits, log2_bits, name)
     kept = found.filter("kept").select("id", "length", "text_sha256")
+    sha, length = fresh(docs, "_sha"), fresh(docs, "_length")
     maybe = (
-        flagged.filter("_maybe")
-        .drop("_maybe")
-        .withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-        .withColumn("_length", F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
+        flagged.filter(name)
+        .drop(name)
+        .withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+        .withColumn(length, F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
     )
     stay = (
         maybe.join(
             kept,
-            (maybe["_sha"] == kept["text_sha256"])
-            & (maybe["_length"] == kept["length"])
+            (maybe[sha] == kept["text_sha256"])
+            & (maybe[length] == kept["length"])
             & maybe[id_col].eqNullSafe(kept["id"]),
             "left_semi",
         )
-        .dropDuplicates(["_sha"])
-        .drop("_sha", "_length")
+        .dropDuplicates([sha])
+        .drop(sha, length)
     )
-    return flagged.filter(~F.col("_maybe")).drop("_maybe").unionByName(stay)
+    return flagged.filter(~F.col(name)).drop(name).unionByName(stay)

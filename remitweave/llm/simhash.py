@@ -11,11 +11,13 @@ their own, so that a large block is shared among many tasks. From a tile pair on
 groups so far come back, fewer than it has fingerprints.
 
 With ``min_jaccard``, fingerprints are those of the distinct shingles, and close ones are candidates only: a link needs that
-Jaccard similarity of the two sets of shingles. Texts with one fingerprint but other shingles are then parted as well.
+Jaccard similarity of the two sets of shingles. Texts with one fingerprint but other shingles are then parted as well. The sets
+are made, and shuffled, only for documents that have a candidate: groups of candidates are the blocks of a second comparison.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero, linked like any other; one with
 fewer words than a shingle has its whole word sequence as its only shingle; repeated rows share a class;
-null identifiers follow all others when the smallest is taken; an empty table gives an empty result.
+null identifiers follow all others when the smallest is taken; rows with one identifier are one document for ``survivors``, which
+stay or go together; an empty table gives an empty result; other columns are ignored, and ``survivors`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitweave.llm.common import flag_by_bits, id_bits, map_arrow, materialise
+from remitweave.llm.common import flag_by_bits, fresh, id_bits, map_arrow, materialise
 from remitweave.llm.components import components
 
-#: Fingerprints to a tile.
-TILE = 4096
+#: Fingerprints to a tile, and shingles that count as one more where sets of shingles are compared.
+TILE, UNIT = 2048, 512
 #: Least shingles by which texts are dealt to blocks, for wide radii.
 KEYS = 8
 #: Added to a hash before mixing, for each further 64 bits of a wide fingerprint.
@@ -87,10 +89,13 @@ def fingerprint(text: str | None, words_each: int = 3, parts: int = 1, seed: int
     return [majority(x) for x in widen(h, parts)], len(h)
 
 
-def fingerprints(docs: DataFrame, *, words_each: int = 3, parts: int = 1, sets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, *, words_each: int = 3, parts: int = 1, sets: bool = False, with_shingles: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """id, fp (hex of ``parts`` 64-bit words), n_shingles, keys (least shingles; for wide fingerprints only).
 
-    ``sets``: of distinct shingles; fp also has ':' and a hash of the set, and a column ``shingles`` has their sorted hashes.
+    ``sets``: of distinct shingles; fp also has ':' and a hash of the set, and with ``with_shingles`` a column ``shingles`` has their
+    sorted hashes.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -101,10 +106,10 @@ def fingerprints(docs: DataFrame, *, words_each: int = 3, parts: int = 1, sets:
         raw = [h.tobytes() for h in hashes] if sets else []
         fps = [f"{f}:{xxhash.xxh64_hexdigest(x)}" for f, x in zip(fps, raw, strict=True)] if sets else fps
         columns = [batch.column(0), pa.array(fps, pa.string()), pa.array([len(h) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if sets else [])], ["id", "fp", "n_shingles", "keys", *["shingles"] * sets])
+        return pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if with_shingles else [])], ["id", "fp", "n_shingles", "keys", *["shingles"] * with_shingles])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp string, n_shingles bigint, keys array<bigint>" + ", shingles binary" * sets)
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp string, n_shingles bigint, keys array<bigint>" + ", shingles binary" * with_shingles)
 
 
 def words_of(fps: list[str]) -> np.ndarray:
@@ -211,7 +216,7 @@ def _streamed(radius: int, min_ratio: float, min_jaccard: float) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def links() -> list[tuple[str, str]]:
+        def found() -> list[tuple[str, str]]:
             if len(held) < 2:
                 return []
             sizes = np.array([x[2] for x in held])
@@ -221,63 +226,61 @@ def _streamed(radius: int, min_ratio: float, min_jaccard: float) -> Callable[[It
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[-1][0] != row[0]:
-                    out += links()
+                    out += found()
                     held = []
                 held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["a", "b"])
-        out = links()
+        out = found()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float = 0.0, tile: int = TILE, min_jaccard: float = 0.0, shingles: DataFrame | None = None) -> DataFrame:
+def with_ones(distinct: DataFrame, parts: int) -> DataFrame:
+    """``distinct`` with the bits of fp as text, and how many are set."""
+    bits = F.concat(*[F.lpad(F.conv(F.substring("fp", 16 * i + 1, 16), 16, 2), 64, "0") for i in range(parts)])
+    return distinct.withColumn("bits", bits).withColumn("ones", F.length(F.replace("bits", F.lit("0"), F.lit(""))))
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """Rows of blocks of more than one, with their blocks' ``total`` of units."""
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("total")).filter("n > 1").drop("n")
+    return rows.join(sizes, "block")
+
+
+def links(distinct: DataFrame, *, radius: int, parts: int = 1, min_ratio: float = 0.0, tile: int = TILE) -> DataFrame:
     """(a, b): enough links among fingerprints to join all that are within ``radius`` in a block. ``distinct``: fp, n_shingles, and
-    keys, by which blocks are made if the radius leaves ranges of less than 8 bits (without keys there is one block). ``shingles``: fp and shingles, for ``min_jaccard``; read for the fingerprints of shared blocks only."""
+    keys, by which blocks are made if the radius leaves ranges of less than 8 bits (without keys there is one block)."""
     total = 64 * parts
     n_ranges = radius + 1 if total // (radius + 1) >= 8 else 1
-    bits = F.concat(*[F.lpad(F.conv(F.substring("fp", 16 * i + 1, 16), 16, 2), 64, "0") for i in range(parts)])
     cuts = [total * i // n_ranges for i in range(n_ranges + 1)]
-    keys = F.array(
-        *[F.concat(F.lit(f"{i}:"), F.substring("_bits", a + 1, b - a) if n_ranges > 1 else F.lit("")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    )
-    rows = (
-        distinct.withColumn("_bits", bits)
-        .withColumn("ones", F.length(F.replace("_bits", F.lit("0"), F.lit(""))))
-        .withColumn("block", F.explode(F.when(F.size("keys") > 0, F.col("keys").cast("array<string>")).otherwise(keys) if n_ranges == 1 and "keys" in distinct.columns else keys))
-        .select("block", "fp", "n_shingles", "ones")
+    ranges = F.array(
+        *[F.concat(F.lit(f"{i}:"), F.substring("bits", a + 1, b - a) if n_ranges > 1 else F.lit("")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     )
-    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = materialise(rows.join(sizes, "block"))
-    if min_jaccard:
-        needed = rows.select("fp").distinct()
-        bits_ = materialise(id_bits(needed, F.col("fp"), 24))
-        maybe = flag_by_bits(shingles, F.col("fp"), bits_, 24, "_maybe").filter("_maybe").select("fp", "shingles")
-        sets = materialise(maybe.join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
-    else:
-        sets = None
-    small = rows.filter(F.col("n") <= tile).select("block", "fp", "n_shingles")
-    small = small.join(sets, "fp").select("block", "fp", "n_shingles", "shingles") if min_jaccard else small
-    found = small.repartition("block").sortWithinPartitions("block").mapInArrow(_streamed(radius, min_ratio, min_jaccard), "a string, b string")
+    by_key = n_ranges == 1 and "keys" in distinct.columns
+    numbered = F.transform("keys", lambda x, i: F.concat_ws(":", i, x)) if by_key else None
+    blocks = F.when(F.size("keys") > 0, numbered).otherwise(ranges) if by_key else ranges
+    rows = with_ones(distinct, parts).select(F.explode(blocks).alias("block"), "fp", "n_shingles", "ones", F.lit(1).cast("bigint").alias("units"))
+    return block_links(materialise(sized(rows)), radius, min_ratio, tile)
 
-    # a larger block: its fingerprints are cut into tiles of like counts, each tile pair that may hold a link is a group
-    width = "block, level, part"
-    spread = (
-        rows.filter(F.col("n") > tile)
-        .withColumn("level", F.floor(F.log2(F.greatest(F.col("n_shingles"), F.lit(1))) / F.lit(0.25)) if min_ratio > 0 else F.lit(0).cast("long"))
-        .withColumn("level", F.struct("level", "ones"))
-    )
-    counted = spread.groupBy("block", "level").agg(F.count(F.lit(1)).alias("m"))
-    spread = spread.join(counted, ["block", "level"]).withColumn(
-        "part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / F.lit(tile))).cast("int")
-    )
-    return found.unionByName(_tile_pairs(spread, radius, min_ratio, tile, width, min_jaccard, sets)) if not spread.isEmpty() else found
 
+def block_links(rows: DataFrame, radius: int, min_ratio: float, tile: int, min_jaccard: float = 0.0) -> DataFrame:
+    """Links within blocks. ``rows``: a written table of block, fp, n_shingles, ones, units, total, and for ``min_jaccard`` shingles."""
+    small = rows.filter(F.col("total") <= tile).select("block", "fp", "n_shingles", *["shingles"] * (min_jaccard > 0))
+    found = small.repartition("block").sortWithinPartitions("block").mapInArrow(_streamed(radius, min_ratio, min_jaccard), "a string, b string")
+    large = rows.filter(F.col("total") > tile)
+    return found if large.isEmpty() else found.unionByName(_tile_pairs(large, radius, min_ratio, tile, min_jaccard))
 
-def _tile_pairs(spread: DataFrame, radius: int, min_ratio: float, tile: int, width: str, min_jaccard: float, sets: DataFrame | None) -> DataFrame:
-    """Tiles: consecutive (size level, population count, part) cells of a block, gathered to ``tile`` rows."""
+
+def _tile_pairs(large: DataFrame, radius: int, min_ratio: float, tile: int, min_jaccard: float) -> DataFrame:
+    """A large block's fingerprints are cut into cells of like (shingle count, population count), a cell into parts of at most ``tile``
+    units; tiles are consecutive cells gathered to so many. Each tile pair that may hold a link is a group."""
+    level = F.floor(F.log2(F.greatest(F.col("n_shingles"), F.lit(1))) / F.lit(0.25)) if min_ratio > 0 else F.lit(0).cast("long")
+    spread = large.withColumn("level", F.struct(level.alias("level"), "ones"))
+    counted = spread.groupBy("block", "level").agg(F.sum("units").alias("m"))
+    spread = spread.join(counted, ["block", "level"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / F.lit(tile))).cast("int"))
     cells = spread.groupBy("block", "level", "part").agg(
-        F.count(F.lit(1)).alias("m"), F.min("ones").alias("lo"), F.max("ones").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
+        F.sum("units").alias("m"), F.min("ones").alias("lo"), F.max("ones").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
     )
     before = F.sum("m").over(_ordered())
     numbered = materialise(cells.withColumn("tile", F.floor((before - 1) / F.lit(tile)).cast("int")))
@@ -293,8 +296,7 @@ def _tile_pairs(spread: DataFrame, radius: int, min_ratio: float, tile: int, wid
         & (F.col("x.most") >= min_ratio * F.col("y.least")),
     ).select("x.block", F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
     needed = pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    rows = spread.join(numbered.select("block", "level", "part", "tile"), ["block", "level", "part"]).select("block", "tile", "fp", "n_shingles")
-    rows = rows.join(sets, "fp") if min_jaccard else rows
+    rows = spread.join(numbered.select("block", "level", "part", "tile"), ["block", "level", "part"]).select("block", "tile", "fp", "n_shingles", *["shingles"] * (min_jaccard > 0))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fp")
@@ -327,18 +329,34 @@ def near_duplicates(
     ``parts``: fingerprint length in 64-bit words. ``min_ratio``: two documents link only if the smaller has that
     share of the larger one's shingles. ``min_jaccard``: they link only if their sets of shingles are that alike.
     """
-    rows = materialise(fingerprints(docs, words_each=words_each, parts=parts, sets=min_jaccard > 0, id_col=id_col, text_col=text_col))
+    made = {"words_each": words_each, "parts": parts, "sets": min_jaccard > 0, "id_col": id_col, "text_col": text_col}
+    rows = materialise(fingerprints(docs, **made))
     # one row per fingerprint: of several texts that of fewest shingles stands for all, as they are linked in any case
     distinct = materialise(
         rows.groupBy("fp")
         .agg(F.min(F.struct("n_shingles", "keys")).alias("s"), F.min("id").alias("least"))
         .select("fp", "s.n_shingles", "s.keys", "least")
     )
-    roots = components(links(distinct.select("fp", "n_shingles", "keys"), radius=radius, parts=parts, min_ratio=min_ratio, tile=tile, min_jaccard=min_jaccard, shingles=rows if min_jaccard else None))
+    roots = components(links(distinct.select("fp", "n_shingles", "keys"), radius=radius, parts=parts, min_ratio=min_ratio, tile=tile))
+    if min_jaccard > 0:
+        units = (F.lit(1) + F.floor(F.col("n_shingles") / UNIT)).cast("bigint")
+        groups = distinct.join(roots, distinct["fp"] == roots["node"]).select(F.col("root").alias("block"), "fp", "n_shingles", units.alias("units"), "least")
+        groups = materialise(sized(with_ones(groups, parts).drop("bits")))
+        rows_of = _shingles_of(docs, groups, made)
+        roots = components(block_links(materialise(groups.drop("least").join(rows_of, "fp")), radius, min_ratio, tile, min_jaccard))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = joined.join(least, "root").select("fp", "component_id")
-    return rows.drop("shingles").join(by_fp, "fp").select("id", F.substring_index("fp", ":", 1).alias("fp"), "component_id")
+    return rows.join(by_fp, "fp").select("id", F.substring_index("fp", ":", 1).alias("fp"), "component_id")
+
+
+def _shingles_of(docs: DataFrame, groups: DataFrame, made: dict, log2_bits: int = 24) -> DataFrame:
+    """fp and shingles of the fingerprints in ``groups``, from the documents with their least identifiers, which a bit filter finds."""
+    bits = materialise(id_bits(groups, F.col("least"), log2_bits))
+    name = fresh(docs, "_maybe")
+    maybe = flag_by_bits(docs, F.col(made["id_col"]), bits, log2_bits, name).filter(F.col(name))
+    found = fingerprints(maybe, with_shingles=True, **made).select("fp", "shingles")
+    return found.join(groups.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 24, **parameters) -> DataFrame:
@@ -350,7 +368,8 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters))
     gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
     bits = materialise(id_bits(gone, F.col("id"), log2_bits))
-    flagged = flag_by_bits(docs, F.col(id_col), bits, log2_bits, "_maybe")
-    maybe = flagged.filter("_maybe").drop("_maybe")
+    name = fresh(docs, "_maybe")
+    flagged = flag_by_bits(docs, F.col(id_col), bits, log2_bits, name)
+    maybe = flagged.filter(name).drop(name)
     stay = maybe.join(gone, maybe[id_col].eqNullSafe(gone["id"]), "left_anti")
-    return flagged.filter(~F.col("_maybe")).drop("_maybe").unionByName(stay)
+    return flagged.filter(~F.col(name)).drop(name).unionByName(stay)
