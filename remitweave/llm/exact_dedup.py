@@ -2,16 +2,19 @@
 
 * memtable flush: each input partition becomes one run of (digest, identifier, length) entries, sorted by
   digest, written to the shared folder;
-* compaction: the runs are merged by digest; the smallest identifier among the longest originals survives;
-* filter: a bit filter of fixed size over the identifiers with a partner tells which documents can be hits,
-  so that only those texts are read again and shuffled;
+* filters: each run has a bit filter of its digests. Where the filters of all runs, laid over one another, have a bit once only,
+  its entry is in no other run: it passes without being looked up anywhere, or shuffled;
+* compaction: the entries that remain are merged by digest, ``FANOUT`` runs to a run of the next level, until one is left; of equal
+  digests the smallest identifier among the longest originals survives, with the count of all;
+* hits: a bit filter of fixed size over the identifiers with a partner tells which texts are read again and shuffled;
 * byte verification: a digest whose normalised texts are not all the same bytes (min = max) is regrouped by
   the bytes themselves.
 
 Aggregations combine before the shuffle, so a group that holds a third of all rows sends one row per task.
 
 Defined cases: null text counts as empty; a null identifier loses to any other; of rows that tie in
-length and identifier one stays; an empty table gives an empty result; other columns are ignored.
+length and identifier one stays (which, if their other columns differ, is not defined); an empty table gives an empty
+result; other columns, whatever their names, are ignored, and ``survivors`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from remitweave.llm.common import flag_by_bits, fresh, id_bits, materialise
 
 #: The characters that don't count: space and U+0009 to U+000D.
 BLANKS = " \t\n\v\f\r"
+#: Runs that are merged into one of the next level.
+FANOUT = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -39,6 +44,7 @@ def _entries(docs: DataFrame, id_col: str, text_col: str, key_bytes: int) -> Dat
             F.col(id_col).alias("id"),
             F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
             F.monotonically_increasing_id().alias("row"),
+            F.spark_partition_id().alias("run"),
         )
         .withColumn("_norm", normalised(F.col("_text")))
         .withColumn("length", F.char_length("_text"))
@@ -53,6 +59,39 @@ def _winner() -> Column:
     ).alias("w")
 
 
+def _shared_bits(runs: DataFrame, log2_bits: int) -> DataFrame:
+    """(word, bits): the places that entries of several runs, or several of one, have in the runs' filters. At most 2**(log2_bits-6) rows.
+
+    Where a run has fewer bits in a word than entries, all its bits there count as shared.
+    """
+    pos = F.pmod(F.xxhash64("key"), F.lit(1 << log2_bits))
+    filters = (
+        runs.select("run", F.shiftright(pos, 6).alias("word"), (pos % 64).cast("int").alias("bit"))
+        .groupBy("run", "word")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"), F.count(F.lit(1)).alias("n"))
+        .select("word", "bits", F.when(F.col("n") > F.bit_count("bits"), F.col("bits")).otherwise(F.lit(0)).alias("twice"))
+    )
+    laid = F.aggregate(
+        F.collect_list(F.struct("bits", "twice")),
+        F.struct(F.lit(0).cast("bigint").alias("any"), F.lit(0).cast("bigint").alias("shared")),
+        lambda a, x: F.struct(
+            a["any"].bitwiseOR(x["bits"]).alias("any"), a["shared"].bitwiseOR(x["twice"]).bitwiseOR(a["any"].bitwiseAND(x["bits"])).alias("shared")
+        ),
+    )
+    return filters.groupBy("word").agg(laid["shared"].alias("bits")).filter("bits <> 0")
+
+
+def _compacted(entries: DataFrame) -> DataFrame:
+    """key, w (the surviving entry) and n, by merging runs level by level."""
+    level = entries.select("run", "key", F.struct((-F.col("length")).alias("neg"), F.col("id").isNull().alias("no_id"), "id", "row").alias("w"), F.lit(1).cast("bigint").alias("n"))
+    last = entries.agg(F.max("run")).first()[0] or 0
+    while last >= FANOUT:
+        last //= FANOUT
+        merged = level.groupBy(F.floor(F.col("run") / FANOUT).cast("int").alias("run"), "key").agg(F.min("w").alias("w"), F.sum("n").alias("n"))
+        level = materialise(merged.sortWithinPartitions("key"))
+    return materialise(level.groupBy("key").agg(F.min("w").alias("w"), F.sum("n").alias("n")))
+
+
 def _assign(entries: DataFrame, level: DataFrame, on: list[str]) -> DataFrame:
     return entries.join(level, on).select(
         F.col("id"),
@@ -70,12 +109,18 @@ def assign(
     """One row per document: id, keep_id, group_size, kept, text_sha256, length (code points).
 
     ``key_bytes``: digest bytes of the index key; fewer make collisions, which verification resolves.
-    ``log2_bits``: size of the hit filter; a full filter costs a larger shuffle, never a result.
+    ``log2_bits``: size of the filters; a full filter costs a larger shuffle, never a result.
     """
     runs = materialise(
-        _entries(docs, id_col, text_col, key_bytes).select("key", "digest", "id", "length", "row").sortWithinPartitions("key")
+        _entries(docs, id_col, text_col, key_bytes).select("run", "key", "digest", "id", "length", "row").sortWithinPartitions("key")
+    )
+    shared = materialise(_shared_bits(runs, log2_bits))
+    flagged = flag_by_bits(runs, F.col("key"), shared, log2_bits, "maybe")
+    alone = flagged.filter("NOT maybe").select(
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "length"
     )
-    level = materialise(runs.groupBy("key").agg(_winner(), F.count(F.lit(1)).alias("n")))
+    runs = flagged.filter("maybe").drop("maybe")
+    level = _compacted(runs)
 
     hits = runs.join(level.filter("n > 1").select("key"), "key", "left_semi")
     bits = materialise(id_bits(hits, F.col("id"), log2_bits))
@@ -86,13 +131,13 @@ def assign(
         seen.groupBy("key").agg(F.min("_norm").alias("a"), F.max("_norm").alias("b")).filter("a != b").select("key")
     )
     if clashes.isEmpty():
-        return _assign(runs, level, ["key"])
+        return alone.unionByName(_assign(runs, level, ["key"]))
 
     rows = materialise(
         seen.join(clashes, "key", "left_semi").select("key", "_norm", "digest", "id", "length", "row")
     )
     exact = rows.groupBy("key", "_norm").agg(_winner(), F.count(F.lit(1)).alias("n"))
-    settled = _assign(runs.join(clashes, "key", "left_anti"), level, ["key"])
+    settled = alone.unionByName(_assign(runs.join(clashes, "key", "left_anti"), level, ["key"]))
     return settled.unionByName(_assign(rows, exact, ["key", "_norm"]))
 
 
