@@ -1,7 +1,7 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust a score.
 
-Base kinds (fixed patterns): email, ip, card, phone. Added kinds: iban (confirmed by mod-97) and ssn (needs a
-context word). Offsets count code points, the end is exclusive. A base span that passes its validator is
+Base kinds (fixed patterns): email, ip, card, phone. Added kinds: iban (confirmed by mod-97), ssn (needs a context word) and
+secret (a long unbroken string of letters and digits, confirmed by the entropy of its characters, which needs a context word). Offsets count code points, the end is exclusive. A base span that passes its validator is
 always kept; context only moves its score. An added span is kept from ``THRESHOLD`` on.
 
 Defined cases: null and empty texts have no spans; repeated rows are treated alike; an empty table gives an empty
@@ -10,23 +10,24 @@ result; columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from remitweave.llm.common import map_arrow
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 THRESHOLD = 0.7
 #: Characters to either side in which a context word counts.
 NEAR = 48
 
 #: Fixed patterns.
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: Matches of [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) are the successive fours of these runs' parts; so long digit runs are read once.
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -34,6 +35,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9])")
+#: Bits of entropy to a character that a secret has at least; words of a language have less in so few different characters.
+ENTROPY = 3.0
 #: Characters of each country's IBAN.
 IBAN_LENGTHS = {
     x[:2]: int(x[2:])
@@ -53,9 +57,10 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social security"),
+    "secret": ("token", "secret", "password", "passwd", "api key", "apikey", "api_key", "access key", "access_key", "private key", "credential", "bearer"),
 }
 #: Score of a span of each kind before context.
-PRIOR = {"email": 0.85, "ip": 0.75, "card": 0.85, "phone": 0.75, "iban": 0.8, "ssn": 0.4}
+PRIOR = {"email": 0.85, "ip": 0.75, "card": 0.85, "phone": 0.75, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
 
 
 def luhn(digits: str) -> bool:
@@ -104,6 +109,13 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def is_random(s: str) -> bool:
+    """Letters and digits, with characters as various as those of a random key."""
+    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        return False
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= ENTROPY
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -127,6 +139,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in SSN.finditer(text):
         a, b, c = m[0].split("-")
         yield "ssn", m.start(), m.end(), a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
+    for m in SECRET.finditer(text):
+        yield "secret", m.start(), m.end(), is_random(m[0])
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -136,7 +150,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         if not valid:
             continue
         near = f"{text[max(0, a - NEAR):a]} {text[b:b + NEAR]}".lower()
-        score = min(1.0, PRIOR[kind] + (0.35 if kind == "ssn" else 0.15) * any(w in near for w in CONTEXT[kind]))
+        score = min(1.0, PRIOR[kind] + (0.15 if PRIOR[kind] >= THRESHOLD else 0.35) * any(w in near for w in CONTEXT[kind]))
         if kind in BASE or score >= THRESHOLD:
             out.append((kind, a, b, score))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
@@ -154,5 +168,12 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     return map_arrow(docs.select(id_col, text_col), run, f"id {ids}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
 
-def digest(spans: list[tuple[str, int, int, float]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans).encode()).hexdigest()
+
+def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """kind:start:end of the spans of ``kinds``, comma-joined."""
+    each = F.transform(F.filter(spans, lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.array_join(each, ",")
+
+
+def count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")

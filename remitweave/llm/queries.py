@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitweave.llm import ann, binary_output, exact_dedup, language_id, mixing, packing, pii, quality, simhash, token_counts
-from remitweave.llm.common import documents, map_arrow
+from remitweave.llm.common import documents
 
 #: Target shares of the mixed corpus. ``mixing.OTHERS``: all sources not named.
 MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.05, mixing.OTHERS: 0.55}
@@ -91,20 +89,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.detect(documents(spark, sf_dir))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        each = [[(s["kind"], s["start"], s["end"]) for s in spans] for spans in batch.column(1).to_pylist()]
-        joined = [",".join(f"{k}:{a}:{b}" for k, a, b in spans) for spans in each]
-        base = [",".join(f"{k}:{a}:{b}" for k, a, b in spans if k in pii.BASE) for spans in each]
-        counts = [pa.array([sum(k == kind for k, _, _ in spans) for spans in each], pa.int64()) for kind in pii.BASE]
-        digests = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base], pa.string())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), *counts, digests, pa.array(joined, pa.string())], ["doc_id", *(f"n_{k}" for k in pii.BASE), "base_sha256", "spans"]
-        )
-
-    kind = found.schema["id"].dataType.simpleString()
-    return map_arrow(found, run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    spans = F.col("spans")
+    return pii.detect(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"),
+        *[pii.count(spans, kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.joined(spans, pii.BASE), 256).alias("base_sha256"),
+        pii.joined(spans).alias("spans"),
+        F.size(spans).cast("bigint").alias("n_spans"),
+        *[pii.count(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS if kind not in pii.BASE],
+        F.array_join(F.transform(spans, lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
