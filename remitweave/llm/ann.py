@@ -15,7 +15,8 @@ shared among tasks.
 
 Defined cases: vectors that are null, empty, zero, of a length that isn't the commonest, or that hold null or non-finite
 components take no part, as query or as candidate; repeated rows of one id and vector are one candidate;
-with fewer than k candidates a query returns all; ties go to the smaller id; an empty table gives an empty result.
+with fewer than k candidates a query returns all; ties go to the smaller id; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ from remitweave.llm.common import materialise
 
 #: Classes that k-means sees at most.
 SAMPLE = 20_000
-#: Lists at most; beyond about 2e7 classes lists grow instead, and are scanned in groups.
+#: Lists at most; beyond about a million classes lists grow instead, and are scanned in groups.
 LISTS = 1024
 #: Candidates and queries of a scan group at most.
-ROWS, QUERIES = 8192, 1024
+ROWS, QUERIES = 8192, 8192
 #: Columns of a block, and the test's width: larger abandons less.
 BLOCK, EPSILON = 16, 2.1
 #: Candidates of a list that every query measures in full, to have a distance to test against.
@@ -118,16 +119,14 @@ def search(
     is_query: Column,
     *,
     k: int = 20,
-    probe_share: float = 0.7,
-    least_probes: int = 24,
+    probe_share: float = 0.65,
     seed: int = 11,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """Per query and rank: query_id, rank (from 1), id, score (inner product), nearest first.
 
-    ``is_query``: condition on the columns of ``vectors``. A query probes ``probe_share`` of the lists, at least ``least_probes``
-    of them, and on until their lists hold 4 k candidates.
+    ``is_query``: condition on the columns of ``vectors``. A query probes ``probe_share`` of the lists, and on until their lists hold 4 k candidates.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -155,7 +154,7 @@ def search(
     asked = materialise(rows.filter("q").select("id", "v").distinct().join(classes.select("v", "cls"), "v").select("id", "cls"))
 
     n_classes = classes.count()
-    n_lists = max(1, min(LISTS, round(math.sqrt(n_classes) / 4)))
+    n_lists = max(1, min(LISTS, round(math.sqrt(n_classes))))
     sample = classes.select("v").orderBy(F.xxhash64("v")).limit(min(SAMPLE, 64 * n_lists)).toPandas()
     turn = rotation(dim + 1, seed)
     centres = k_means(augmented(np.stack(sample["v"].to_numpy()), top, turn), n_lists, seed)
@@ -177,7 +176,7 @@ def search(
     )
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = np.array([sizes.get(i, 0) for i in range(len(centres))])
-    n_probe = min(len(centres), max(least_probes, math.ceil(probe_share * len(centres))))
+    n_probe = math.ceil(probe_share * len(centres))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, r, c = model.value
