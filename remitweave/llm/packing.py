@@ -3,12 +3,14 @@
 Each map task packs its own rows, in pools of a bounded number of tokens, so nothing is shuffled. A
 document's whole blocks of ``length`` ids fill sequences of their own. The rest of it is a piece with the
 estimated cost ``linear * n + quadratic * n**2`` of attention over n ids. Pieces are taken in descending order;
-each goes to the sequence of lowest cost that still holds it, and where none does, it is cut to fill the
+each goes to the sequence of lowest cost that still holds it, and only where none does, it is cut to fill the
 room left in the cheapest ones. A pool opens only as many sequences as its ids fill; what would leave a
-sequence part empty waits for the next pool, so a task leaves at most one sequence with padding.
+sequence part empty waits for the next pool. What is left when a task ends, fewer ids than a sequence holds, fills
+sequences whose lengths are powers of two, which need no padding: at most log2(length) short ones to a task.
 
 Defined cases: null text is empty and still has its end id; rows with the same or a null id are documents of
-their own; a text of any length is packed whole; an empty table gives an empty result.
+their own; pieces of equal length are taken in the order of their documents, and of sequences of equal cost that with most room
+filled; a text of any length is packed whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,61 +28,62 @@ from remitweave.llm.tokens import encoder
 
 #: Ids of rests in a pool, about 16 MB.
 POOL = 4_000_000
-#: Sequences tried for a whole piece before it is cut.
-SEARCH = 16
 
 
 def cost(n: int, linear: float, quadratic: float) -> float:
     return linear * n + quadratic * n * n
 
 
+def capacities(total: int, length: int, last: bool) -> list[int]:
+    """Rooms of the sequences that ``total`` ids fill: whole ones, and with ``last`` powers of two for the rest."""
+    rest = total % length if last else 0
+    return [length] * (total // length) + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
+
+
+class Sequences:
+    """Open sequences by the room they have left, each room's in a heap by cost."""
+
+    def __init__(self, rooms: list[int]):
+        self.open: list[list[tuple[float, int]]] = [[] for _ in range(max(rooms, default=0) + 1)]
+        for i, r in enumerate(rooms):
+            self.open[r].append((0.0, i))
+        self.least = np.array([h[0][0] if h else np.inf for h in self.open])
+
+    def cheapest(self, room: int) -> tuple[float, int, int] | None:
+        """Takes out that of least cost with so much room at least: cost, sequence, room."""
+        if room >= len(self.open):
+            return None
+        r = room + int(self.least[room:].argmin())
+        if not self.open[r]:
+            return None
+        c, i = heapq.heappop(self.open[r])
+        self.least[r] = self.open[r][0][0] if self.open[r] else np.inf
+        return c, i, r
+
+    def put(self, c: float, i: int, room: int) -> None:
+        heapq.heappush(self.open[room], (c, i))
+        self.least[room] = self.open[room][0][0]
+
+
 def assign(pieces: list[tuple[int, int]], length: int, linear: float, quadratic: float, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """pieces: (n ids, key). Returns the sequences, lists of (key, from, to), and what is left over: with ``last``
     nothing, else fewer than ``length`` ids."""
-    total = sum(n for n, _ in pieces)
-    n_seq = -(-total // length) if last else total // length
-    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n_seq)]
-    room = [length] * n_seq
-    heap = [(0.0, i) for i in range(n_seq)]
-    left = []
-
-    def put(i: int, c: float, key: int, a: int, b: int) -> None:
-        out[i].append((key, a, b))
-        room[i] -= b - a
-        if room[i]:
-            heapq.heappush(heap, (c + cost(b - a, linear, quadratic), i))
-
+    rooms = capacities(sum(n for n, _ in pieces), length, last)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in rooms]
+    sequences, left = Sequences(rooms), []
     for n, key in sorted(pieces, key=lambda x: (-x[0], x[1])):
-        tried, at = [], 0
-        while heap and at < n:
-            c, i = heapq.heappop(heap)
-            if room[i] >= n:
-                put(i, c, key, 0, n)
-                at = n
-            else:
-                tried.append((c, i))
-                if len(tried) >= SEARCH:  # the cheapest are nearly full: cutting beats searching on
-                    break
-        if at < n:
-            tried.sort()
-            for j, (c, i) in enumerate(tried):
-                b = min(n, at + room[i])
-                put(i, c, key, at, b)
-                at = b
-                if at == n:
-                    tried = tried[j + 1 :]
-                    break
-            else:
-                tried = []
-            while at < n and heap:
-                c, i = heapq.heappop(heap)
-                b = min(n, at + room[i])
-                put(i, c, key, at, b)
-                at = b
-            if at < n:
+        at = 0
+        while at < n:
+            found = sequences.cheapest(n - at) or sequences.cheapest(1)
+            if found is None:
                 left.append((key, at, n))
-        for x in tried:
-            heapq.heappush(heap, x)
+                break
+            c, i, room = found
+            b = min(n, at + room)
+            out[i].append((key, at, b))
+            if room > b - at:
+                sequences.put(c + cost(b - at, linear, quadratic), i, room - (b - at))
+            at = b
     return out, left
 
 
