@@ -4,12 +4,15 @@
   to 2**BITS places, as log(1 + count) times the inverse document frequency, scaled to length 1. Document frequencies are
   counted over all rows that may be learned from.
 * Training: follow-the-regularised-leader (proximal) with an elastic-net penalty, on at most ``PER_LANGUAGE``
-  documents of each language (those with the smallest hashes of their ids) and on short snippets of them.
+  documents of each language (those with the smallest hashes of their ids) and on short snippets of them. What comes to the driver
+  has at most ``LEARN_CHARS`` characters, in equal parts for the languages; longer texts than ``LONGEST`` are not learned from.
+  Only the ``LANGUAGES`` commonest values of the language column are learned (ties: the smaller).
 * Calibration: every fifth of these documents is kept from training, and a temperature is fitted on it.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; so is every text if nothing may be
 learned from; rows without an id are predicted, not learned from; repeated ids are learned from once; repeated
-rows get equal results; an empty table gives an empty result; other columns are ignored.
+rows get equal results; of languages with equal scores the first by name is taken; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from remitweave.llm.common import map_arrow
 
 BITS = 16
-PER_LANGUAGE = 900
+PER_LANGUAGE, LANGUAGES = 900, 64
+LEARN_CHARS, LONGEST = 64_000_000, 200_000
 UNKNOWN = "und"
 #: Characters that a snippet for training has.
 SNIPPETS = (24, 80)
@@ -158,17 +162,20 @@ def train(docs: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id
     order = Window.partitionBy("lang").orderBy("_h", "id")
     # hashes up to where about four times the wanted number lie, by each language's count of ids: the window then sorts few rows
     # of even a language that holds most of the corpus
-    ids = rows.filter(F.col("id").isNotNull()).select("id", "lang").distinct()
-    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    length = F.coalesce(F.char_length("text"), F.lit(0))
+    ids = rows.filter(F.col("id").isNotNull()).groupBy("id", "lang").agg(F.max(length).alias("_length")).filter(F.col("_length") <= LONGEST)
+    commonest = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).collect()
+    sizes = docs.sparkSession.createDataFrame(commonest, f"lang {rows.schema['lang'].dataType.simpleString()}, _n bigint")
     chosen = (
-        ids.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("_h"))
-        .join(F.broadcast(sizes), "lang")  # a row for each language
+        ids.withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+        .join(F.broadcast(sizes), "lang")  # LANGUAGES rows at most
         .filter(F.col("_h") * F.col("_n").cast("double") < float(4 * PER_LANGUAGE << 30))
         .withColumn("_r", F.row_number().over(order))
-        .filter(F.col("_r") <= PER_LANGUAGE)
+        .withColumn("_sum", F.sum("_length").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("_r") <= PER_LANGUAGE) & (F.col("_sum") <= LEARN_CHARS // max(len(commonest), 1)))
         .select("id", "lang")
     )
-    # PER_LANGUAGE ids for each language: safe to broadcast
+    # PER_LANGUAGE ids for each of LANGUAGES: safe to broadcast
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "id"])
     languages = tuple(sorted(set(sample["lang"])))
     model = LanguageModel(languages, np.log((1 + n) / (1 + df)) + 1.0, np.zeros((1 << BITS, max(len(languages), 1))))
