@@ -1,7 +1,7 @@
 """Token ids in files of frequency-ranked, byte-aligned, variable-length codes.
 
-A file (Parquet, so that any store Spark can write holds it) is a sequence of segments in ascending order of
-the documents' ids. A segment has, for its documents, the id, the first id's place in the task's part and the number
+What is written below a path can be read with that path alone: ``segments``, and ``ranks``, the ids by rank. A file (Parquet,
+so that any store Spark can write holds it) is a sequence of segments in ascending order of the documents' ids. A segment has, for its documents, the id, the first id's place in the task's part and the number
 of ids; and for all their ids together the *control* bytes (two bits for each id: its code's length less 1,
 four ids to a byte, the first in the lowest bits) and the *data* bytes (the little-endian rank of the id
 among all ids by falling frequency, in so many bytes). Frequent ids take one byte. The reader finds
@@ -9,7 +9,7 @@ the lengths of four codes by one table lookup per control byte.
 
 Defined cases: null text is empty and has its end id alone; null ids come first; rows with the same id
 follow one another, shorter ones first; a text of any length lies in one segment; an empty table gives
-an empty result.
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitweave.llm.common import map_arrow, materialise, shared_dir
@@ -97,13 +97,13 @@ def ranked(tokens: DataFrame) -> np.ndarray:
     return found.sort_values(["n", "token"], ascending=[False, True]).token.to_numpy(np.uint32)
 
 
-def write(
-    docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text"
-) -> np.ndarray:
-    """Write the files below ``path``; returns the ids by rank, which the reader needs."""
+def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the files below ``path``."""
     tokens = _tokenised(docs, vocabulary, end_id, id_col, text_col)
     by_rank = ranked(tokens)
     spark = docs.sparkSession
+    table = pa.table({"rank": pa.array(range(len(by_rank)), pa.int64()), "token": pa.array(by_rank, pa.int64())})
+    spark.createDataFrame(table, "rank bigint, token bigint").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     held = spark.sparkContext.broadcast(rank_of)
@@ -140,17 +140,19 @@ def write(
         .sortWithinPartitions("id", "n", "ids")
         .select("id", "ids")
         .mapInArrow(run, f"part bigint, segment bigint, ids array<{id_kind}>, counts array<bigint>, first bigint, control binary, data binary")
-        .write.parquet(path)
+        .write.parquet(f"{path}/segments")
     )
-    return by_rank
 
 
-def read(docs_schema_id: str, files: DataFrame, by_rank: np.ndarray, *, with_ids: bool = True) -> DataFrame:
-    """Per document: id, start, n_tokens, ids_crc32, and with ``with_ids`` ids. ``docs_schema_id``: the id's type.
+def read(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
+    """Per document: id, start, n_tokens, ids_crc32, and with ``with_ids`` ids.
 
-    The parts before a part are summed on the driver: one number for each write task.
+    On the driver come together the ids by rank, no more than the vocabulary has, and one number for each write task: the parts before a
+    part are summed there.
     """
-    spark = files.sparkSession
+    files = spark.read.parquet(f"{path}/segments")
+    by_rank = spark.read.parquet(f"{path}/ranks").toPandas().sort_values("rank").token.to_numpy(np.uint32)
+    docs_schema_id = files.schema["ids"].dataType.elementType.simpleString()
     totals = files.select("part", F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     base, start = {}, 0
     for r in totals.orderBy("part").toLocalIterator():
@@ -185,5 +187,5 @@ def round_trip(
 ) -> DataFrame:
     """Write all documents and read them back from the files."""
     path = shared_dir(docs.sparkSession)
-    by_rank = write(docs, path, vocabulary, end_id=end_id, id_col=id_col, text_col=text_col)
-    return read(docs.schema[id_col].dataType.simpleString(), docs.sparkSession.read.parquet(path), by_rank, with_ids=with_ids)
+    write(docs, path, vocabulary, end_id=end_id, id_col=id_col, text_col=text_col)
+    return read(docs.sparkSession, path, with_ids=with_ids)
