@@ -1,5 +1,6 @@
 """Quality, language and neighbours: held-out accuracy, brute force and the defined cases."""
 
+import math
 import random
 
 import numpy as np
@@ -51,6 +52,48 @@ def test_language_on_held_out_rows(spark):
     assert (model.weights == 0).mean() > 0.5
 
 
+def naive_prediction(model, text):
+    """Dictionaries and whole numbers only: n-grams, their places, TF-IDF, probabilities."""
+    codes = [ord(c) if c.isalpha() else 32 for c in (text or "").lower()]
+    if all(c == 32 for c in codes):
+        return "und", 0.0
+    codes = [c for k, c in enumerate(codes) if c != 32 or k == 0 or codes[k - 1] != 32]
+    m, counts = 1 << 64, {}
+    padded = [32, *codes, 32]
+    c = [(x + 7) * 0xC2B2AE3D27D4EB4F % m for x in padded]
+    two = [(a ^ b >> 7) * 0x165667B19E3779F9 % m for a, b in zip(c, c[1:])]
+    three = [(a ^ b >> 13) * 0x27D4EB2F165667C5 % m for a, b in zip(two, c[2:])]
+    for h in [*((x + 1) * 0x9E3779B97F4A7C15 % m for x in codes), *two, *three]:
+        counts[h >> 48] = counts.get(h >> 48, 0) + 1
+    x = {p: math.log(1 + n) * float(model.idf[p]) for p, n in counts.items()}
+    size = math.sqrt(sum(v * v for v in x.values()))
+    z = [sum(v / size * float(model.weights[p, k]) for p, v in x.items()) / model.temperature for k in range(len(model.languages))]
+    e = [math.exp(v - max(z)) for v in z]
+    k = e.index(max(e))
+    return model.languages[k], e[k] / sum(e)
+
+
+def test_language_matches_a_naive_version(spark, odd_docs):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    some = docs.filter("doc_id % 10 = 0").unionByName(odd_docs.select("doc_id", "text", "lang"))
+    for r in language_id.identify(some, model, ["text"]).collect():
+        lang, score = naive_prediction(model, r["text"])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-9
+    texts = {r["text"] for r in docs.collect() if r["text"]}
+    n = sum(any(c.isalpha() for c in r["text"] or "") for r in docs.select("text").collect())
+    assert texts and model.idf.max() <= math.log(1 + n) + 1 + 1e-12
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    monkeypatch.setattr(language_id, "LONGEST", 500)
+    monkeypatch.setattr(language_id, "LEARN_CHARS", 6000)
+    rows = [(k, f"{'abcdefgh'[k % 8]}x " * (10 if k % 50 else 400), "abcdefgh"[k % 8] if k % 8 < 4 else "dirty" + str(k)) for k in range(800)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 3 and set(model.languages) <= set("abcd")
+
+
 def test_language_defined_cases(odd_docs, no_docs):
     model = language_id.train(odd_docs)
     rows = language_id.identify(odd_docs, model, ["doc_id", "text"]).toPandas()
@@ -93,11 +136,24 @@ def test_neighbours_few_rows(spark):
     assert ann.search(df, F.col("vec_id") < 0).count() == 0
 
 
+def test_recall_on_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = ann.search(df, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_list("id").alias("ids")).toPandas()
+    ok = df.filter(ann.finite(F.col("embedding").cast("array<double>"))).toPandas().sort_values("vec_id")
+    ids, x = ok.vec_id.to_numpy(), np.stack(ok.embedding.to_numpy()).astype(float)
+    shares = []
+    for q, got in zip(found.query_id, found.ids, strict=True):
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        shares.append(len(set(got) & set(ids[np.argsort(-s, kind="stable")[:20]].tolist())) / 20)
+    assert len(shares) == sum(ids % 20 == 0) and np.mean(shares) >= 0.9
+
+
 def test_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((6000, 32))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = ann.search(df, F.col("vec_id") % 100 == 0, least_probes=1).toPandas().groupby("query_id").id.apply(set)
+    found = ann.search(df, F.col("vec_id") % 100 == 0).toPandas().groupby("query_id").id.apply(set)
     s = x[::100] @ x.T
     s[np.arange(60), np.arange(0, 6000, 100)] = -np.inf
     assert np.mean([len(found[100 * i] & set(np.argsort(-r)[:20].tolist())) / 20 for i, r in enumerate(s)]) >= 0.9
