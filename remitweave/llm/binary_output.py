@@ -85,8 +85,9 @@ def ranked(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                new = np.bincount(_wide(ids), minlength=len(counts))
+            for at in range(0, batch.num_rows, 512):
+                ids = np.concatenate([_wide(x) for x in batch.column(0).slice(at, 512).to_pylist()])
+                new = np.bincount(ids, minlength=len(counts))
                 new[: len(counts)] += counts
                 counts = new
         (seen,) = np.nonzero(counts)

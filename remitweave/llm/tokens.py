@@ -87,11 +87,15 @@ class PieceEncoder:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = pieces
-        parts = []
+        parts, stems = [], set()
         for p in new:
-            stem, tail = stem_of(p)
-            parts.append((p, stem.lower() if not self.spaced and stem.isascii() else stem, tail))
-        need = {s for _, s, _ in parts if s not in known}
+            stem, tail = (p, "") if p.isalpha() else stem_of(p)
+            if not self.spaced and stem.isascii():
+                stem = stem.lower()
+            stems.add(stem)
+            if p != stem:
+                parts.append((p, stem, tail))
+        need = stems.difference(known)
         letters = [s for s in need if s.isalpha()]
         others = [s for s in need if not s.isalpha()]
         known.update(zip(letters, self._together(letters, between), strict=True))
@@ -100,8 +104,7 @@ class PieceEncoder:
         tails = [t for t in {t for _, _, t in parts} if t and t not in self.heads]
         self.heads.update(zip(tails, self._plain(tails), strict=True))
         for p, stem, tail in parts:
-            if p != stem:
-                known[p] = known[stem] + (self.heads[tail] if tail else b"")
+            known[p] = known[stem] + self.heads[tail] if tail else known[stem]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -110,8 +113,8 @@ class PieceEncoder:
     def _encode_unspaced(self, texts: list[str | None]) -> list[bytes]:
         cuts = [[] if not t else CUT.split(t) if CONTROL.search(t) else t.split() for t in texts]
         self._learn(set().union(*cuts), self.words, " ")
-        known = self.words
-        return [b"".join([known[p] for p in c]) for c in cuts]
+        known = self.words.__getitem__
+        return [b"".join(map(known, c)) for c in cuts]
 
     def _encode_spaced(self, texts: list[str | None]) -> list[bytes]:
         cuts = [[] if not t else lines_of(t) or [CUT.split(t)] for t in texts]
@@ -121,8 +124,8 @@ class PieceEncoder:
                 words.update(line[1:])
         self._learn(words, self.words, " ")
         self._learn({line[0] for c in cuts for line in c}, self.heads, "\n")
-        known, heads, end = self.words, self.heads, self.line_end
-        return [end.join([heads[line[0]] + b"".join([known[p] for p in line[1:]]) for line in c]) for c in cuts]
+        known, heads, end = self.words.__getitem__, self.heads, self.line_end
+        return [end.join([heads[line[0]] + b"".join(map(known, line[1:])) for line in c]) for c in cuts]
 
 
 def encoder(path: str, style: str) -> PieceEncoder:
