@@ -48,18 +48,13 @@ s AS (SELECT source, txn_id, payer_id AS party FROM flow UNION SELECT source, tx
     "aml_circular_flow": """e AS (SELECT * FROM edge),
 p2 AS (SELECT a.payer AS home, [a.payer, a.payee] AS met, b.payee AS at_, b.ts AS last_, [a.txn_id, b.txn_id] AS ids FROM e a JOIN e b ON a.payee = b.payer AND b.ts BETWEEN a.ts AND a.ts + 2592000 AND a.txn_id <> b.txn_id WHERE b.payee <> a.payee),
 p3 AS (SELECT home, list_append(met, at_) AS met, b.payee AS at_, b.ts AS last_, list_append(ids, b.txn_id) AS ids FROM p2 JOIN e b ON at_ = b.payer AND b.ts BETWEEN last_ AND last_ + 2592000 AND NOT list_contains(ids, b.txn_id) WHERE at_ <> home AND NOT list_contains(met[2:], b.payee)),
-p4 AS (SELECT home, list_append(met, at_) AS met, b.payee AS at_, b.ts AS last_, list_append(ids, b.txn_id) AS ids FROM p3 JOIN e b ON at_ = b.payer AND b.ts BETWEEN last_ AND last_ + 2592000 AND NOT list_contains(ids, b.txn_id) WHERE at_ <> home AND NOT list_contains(met[2:], b.payee))
----SELECT DISTINCT len(ids)::INTEGER AS legs, array_to_string(list_sort(ids), ',') AS txn_ids FROM (SELECT * FROM p3 UNION ALL SELECT * FROM p4) WHERE at_ = home""",
+p4 AS (SELECT home, list_append(met, at_) AS met, b.payee AS at_, b.ts AS last_, list_append(ids, b.txn_id) AS ids FROM p3 JOIN e b ON at_ = b.payer AND b.ts BETWEEN last_ AND last_ + 2592000 AND NOT list_contains(ids, b.txn_id) WHERE at_ <> home AND NOT list_contains(met[2:], b.payee)),
+p5 AS (SELECT home, list_append(met, at_) AS met, b.payee AS at_, b.ts AS last_, list_append(ids, b.txn_id) AS ids FROM p4 JOIN e b ON at_ = b.payer AND b.ts BETWEEN last_ AND last_ + 2592000 AND NOT list_contains(ids, b.txn_id) WHERE at_ <> home AND NOT list_contains(met[2:], b.payee))
+---SELECT DISTINCT len(ids)::INTEGER AS legs, array_to_string(list_sort(ids), ',') AS txn_ids FROM (SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5) WHERE at_ = home""",
 }
-_FOUND = f"""o AS (SELECT txn_id FROM flow WHERE amount_cents >= {A.ceiling}), k AS (SELECT txn_id FROM flow WHERE is_wire AND amount_cents >= {A.wire}),
-f AS (SELECT txn_id, 'LIMIT_EXCEEDED' AS rule_id, 'HIGH' AS severity, 'BLOCKED' AS action FROM o
-      UNION ALL SELECT txn_id, 'CROSS_BORDER_LIMIT', 'MEDIUM', 'FLAGGED' FROM k
-      UNION ALL SELECT txn_id, 'CTR_THRESHOLD', 'MEDIUM', 'FLAGGED' FROM flow WHERE is_cash AND amount_cents >= {A.cash})
----"""
-SQL["aml_safe"] = _FOUND + "SELECT txn_id, payer_id, amount_cents FROM flow WHERE txn_id NOT IN (SELECT txn_id FROM f WHERE action = 'BLOCKED')"
-SQL["aml_review"] = _FOUND + """SELECT rule_id, severity, action, n, total, row_number() OVER (ORDER BY (action <> 'BLOCKED')::INTEGER, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, total DESC, rule_id) AS place
-FROM (SELECT rule_id, severity, action, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS total FROM f JOIN flow USING (txn_id) GROUP BY ALL)"""
-SQL["aml_disposition"] = _FOUND + "SELECT txn_id, rule_id, 'human' AS disposition FROM f"
+SQL["aml_safe"] = f"""b AS (SELECT txn_id FROM flow WHERE amount_cents >= {A.ceiling} OR payer_id = 'U10' OR payee_id = 'U10')
+---SELECT txn_id, payer_id, amount_cents FROM flow WHERE txn_id NOT IN (SELECT txn_id FROM b)"""
+#: No SQL for aml_review and aml_disposition: names that are only alike are found by a measure SQL lacks. Tests compare with brute force.
 ORACLES = {k: sql(v) for k, v in SQL.items()}
 
 

@@ -26,7 +26,9 @@ def _diagnosed(s, d):
 
 POOL = """pool AS (SELECT source, txn_id, CASE WHEN ok % 5 = 0 THEN '' WHEN ok % 5 = 1 THEN ref || '-' || txn_id ELSE ref END AS ref, amount_cents, ts, ok, pk FROM gateway
       UNION ALL SELECT source, txn_id, CASE WHEN ok % 5 < 2 THEN '' ELSE ref END, CASE WHEN ok % 2 = 0 THEN amount_cents ELSE amount_cents + 1 END, ts + ok % 9 * 86400, ok, 0 FROM ledger),
-u AS (SELECT *, source || ':' || txn_id AS key FROM pool WHERE source = 'gateway' AND pk % 3 = 0),
+met AS (SELECT txn_id FROM (SELECT txn_id, ref, amount_cents, row_number() OVER (PARTITION BY ref, amount_cents ORDER BY txn_id) AS k FROM pool WHERE source = 'gateway' AND ref <> '')
+        JOIN (SELECT ref, amount_cents, count(*) AS n FROM pool WHERE source <> 'gateway' AND ref <> '' GROUP BY ALL) USING (ref, amount_cents) WHERE k <= n),
+u AS (SELECT *, source || ':' || txn_id AS key FROM pool p WHERE source = 'gateway' AND NOT EXISTS (SELECT 1 FROM met m WHERE m.txn_id = p.txn_id)),
 r1 AS (SELECT ref, amount_cents, count(*) AS n FROM pool WHERE ref <> '' GROUP BY ALL), r2 AS (SELECT ref, count(*) AS n FROM pool WHERE ref <> '' GROUP BY ALL),
 diag AS (SELECT u.*, CASE WHEN r1.n > 1 THEN 'duplicate' WHEN r2.n > 1 THEN 'partial_payment'
               WHEN EXISTS (SELECT 1 FROM pool p WHERE p.amount_cents = u.amount_cents AND p.source <> u.source AND abs(p.ts - u.ts) <= 259200) THEN 'timing_lag' ELSE 'missing_entry' END AS reason

@@ -53,7 +53,7 @@ claims AS (SELECT 'STL' || lpad(ok::VARCHAR, 9, '0') AS settlement_id, 'gateway:
 ---"""
 
 _SIGNALS = """both_ AS (SELECT source, txn_id, ref, memo, amount_cents, ts, ok FROM gateway UNION ALL SELECT source, txn_id, ref, memo, amount_cents, ts, ok FROM ledger),
-pool AS (SELECT s.*, source || ':' || txn_id AS txn_key, source, ref, memo, b.amount_cents, b.ts FROM settlement s JOIN both_ b ON s.ok = b.ok AND b.ts BETWEEN settled_at - 432000 AND settled_at WHERE s.ok % 4 < 3),
+pool AS (SELECT s.*, source || ':' || txn_id AS txn_key, source, ref, memo, b.amount_cents, b.ts FROM settlement s JOIN both_ b ON s.ok = b.ok AND b.ts BETWEEN settled_at - 432000 AND settled_at),
 sized AS (SELECT *, count(*) OVER (PARTITION BY settlement_id) AS n_pool FROM pool),
 tok AS (SELECT settlement_id, txn_key, n_pool, unnest(list_distinct(list_filter(regexp_extract_all(upper(ref), '[A-Z]+|[0-9]+'), lambda t: len(t) >= 4))) AS token FROM sized),
 shared AS (SELECT *, count(*) OVER (PARTITION BY settlement_id, token) AS n FROM tok),
@@ -97,8 +97,10 @@ SQL = {
         FROM (SELECT *, anchored_cents - declared_deductions - net_cents AS residual_cents, n_anchored > 0 AND abs(anchored_cents - declared_deductions - net_cents) <= 5 AS ok_ FROM
         (SELECT settlement_id, any_value(net_cents) AS net_cents, any_value(declared_deductions) AS declared_deductions, count(*) AS n_pool, count(*) FILTER (anchor) AS n_anchored,
                 CAST(sum(CASE WHEN anchor THEN amount_cents ELSE 0 END) AS BIGINT) AS anchored_cents FROM scored GROUP BY 1))""",
-    "unreferenced_members": _SIGNALS + """SELECT settlement_id, txn_key FROM scored s WHERE NOT anchor AND NOT EXISTS (SELECT 1 FROM tok t JOIN tok u ON t.settlement_id = u.settlement_id AND t.token = u.token
-        JOIN scored a ON a.settlement_id = u.settlement_id AND a.txn_key = u.txn_key AND a.anchor WHERE t.settlement_id = s.settlement_id AND t.txn_key = s.txn_key)""",
+    "unreferenced_members": _SIGNALS.rstrip().removesuffix("---").rstrip() + """,
+known AS (SELECT DISTINCT settlement_id, token FROM tok JOIN sig USING (settlement_id, txn_key) WHERE anchor),
+tied AS (SELECT DISTINCT settlement_id, txn_key FROM tok SEMI JOIN known USING (settlement_id, token))
+---SELECT settlement_id, txn_key FROM sig ANTI JOIN tied USING (settlement_id, txn_key) WHERE NOT anchor""",
     "substitutable_members": """SELECT g.source, g.txn_id, l.source AS twin_source, l.txn_id AS twin_id FROM gateway g JOIN ledger l ON g.ok = l.ok AND g.amount_cents = l.amount_cents""",
     "interchangeable_fifo": """p AS (SELECT txn_id, amount_cents // 1000000 AS amount_cents, currency, 'R' || (pk % 20) AS ref, ts FROM gateway),
         w AS (SELECT amount_cents, currency, ref, count(*) AS n_picked FROM p WHERE txn_id LIKE '%7' GROUP BY ALL),
