@@ -65,14 +65,14 @@ def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 
 def add_working_days(rows: DataFrame, day: str, n: int, dim: DataFrame, name: str) -> DataFrame:
-    """The n-th working day after ``day``, which itself doesn't count. ``dim``: calendar(), a few thousand days."""
+    """The n-th working day after ``day``, which itself doesn't count; null for a day outside ``dim``: calendar(), a few thousand days."""
     start = dim.select(F.col("day").alias(day), F.col("cum").alias("_cum"))
     due = dim.filter("is_working").select(F.col("cum").alias("_target"), F.col("day").alias(name))
-    return rows.join(F.broadcast(start), day).join(F.broadcast(due), F.col("_cum") + n == F.col("_target")).drop("_cum", "_target")
+    return rows.join(F.broadcast(start), day, "left").join(F.broadcast(due), F.col("_cum") + n == F.col("_target"), "left").drop("_cum", "_target")
 
 
 def working_days_between(rows: DataFrame, start: str, end: str, dim: DataFrame, name: str) -> DataFrame:
-    """Working days in (start, end]; 0 if end is not after start."""
+    """Working days in (start, end]; 0 if end is not after start, null if either day is outside ``dim``."""
     a = F.broadcast(dim.select(F.col("day").alias(start), F.col("cum").alias("_a")))
     b = F.broadcast(dim.select(F.col("day").alias(end), F.col("cum").alias("_b")))
-    return rows.join(a, start).join(b, end).withColumn(name, F.greatest(F.col("_b") - F.col("_a"), F.lit(0))).drop("_a", "_b")
+    return rows.join(a, start, "left").join(b, end, "left").withColumn(name, F.when(F.col("_b") >= F.col("_a"), F.col("_b") - F.col("_a")).when(F.col("_b") < F.col("_a"), 0)).drop("_a", "_b")

@@ -18,16 +18,16 @@ KEYWORDS = ("bomb", "terror", "isis", "taliban", "crypto", "hawala", "donation",
 #: Rule, severity, action, basis.
 RULES = (
     ("SANCTIONS_HIT", "HIGH", "BLOCKED", "statutory"),
-    ("SANCTIONS_POTENTIAL_MATCH", "MEDIUM", "FLAGGED", "internal_policy"),
+    ("SANCTIONS_POTENTIAL_MATCH", "HIGH", "FLAGGED", "internal_policy"),
     ("LIMIT_EXCEEDED", "HIGH", "BLOCKED", "internal_policy"),
     ("CTR_THRESHOLD", "MEDIUM", "FLAGGED", "statutory"),
     ("CTR_AGGREGATE", "MEDIUM", "FLAGGED", "statutory"),
     ("STRUCTURING_PATTERN", "MEDIUM", "FLAGGED", "statutory"),
     ("CIRCULAR_FLOW", "HIGH", "FLAGGED", "internal_policy"),
     ("CROSS_BORDER_LIMIT", "MEDIUM", "FLAGGED", "statutory"),
-    ("DORMANT_ACCOUNT_SPIKE", "MEDIUM", "FLAGGED", "internal_policy"),
+    ("DORMANT_ACCOUNT_SPIKE", "LOW", "FLAGGED", "internal_policy"),
     ("HIGH_VELOCITY", "MEDIUM", "FLAGGED", "internal_policy"),
-    ("KEYWORD_ALERT", "LOW", "FLAGGED", "internal_policy"),
+    ("KEYWORD_ALERT", "MEDIUM", "FLAGGED", "internal_policy"),
     ("CONCENTRATION_RISK", "MEDIUM", "FLAGGED", "internal_policy"),
     ("DUPLICATE_TX", "LOW", "FLAGGED", "internal_policy"),
 )

@@ -116,7 +116,8 @@ def rate_on(day: Column, schedule: tuple[tuple[str, int], ...]) -> Column:
 
 def tds(payments: DataFrame, by: str, threshold_cents: int) -> DataFrame:
     """Tax due at source on what exceeds a yearly threshold, which the earliest payments use up."""
-    before = F.coalesce(F.sum(F.abs("amount_cents")).over(Window.partitionBy(by).orderBy("ts", "txn_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    year = F.year(F.add_months(ist_date(F.col("ts")), -3))  # from April to March
+    before = F.coalesce(F.sum(F.abs("amount_cents")).over(Window.partitionBy(by, year).orderBy("ts", "txn_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     gross = F.abs("amount_cents")
     taxable = F.greatest(F.lit(0), F.least(gross, F.col("before") + gross - threshold_cents))
     return (

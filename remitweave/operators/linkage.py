@@ -58,9 +58,11 @@ def score(rows: DataFrame) -> DataFrame:
 
 
 def capped(rows: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
-    """All anchored candidates and the best of the others, ``most`` together. The bound is the reference solver's."""
+    """All anchored candidates and the best of the others, ``most`` together. ``truncated``: others were left out, so that the solver
+    must not call a set of this pool the only one."""
     order = Window.partitionBy("settlement_id").orderBy(F.desc("anchor"), F.desc("score"), "txn_key")
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("anchor") | (F.col("place") <= most))
+    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("truncated", F.col("n_pool") > F.greatest(F.lit(most), F.count_if("anchor").over(Window.partitionBy("settlement_id"))))
+    return placed.filter(F.col("anchor") | (F.col("place") <= most))
 
 
 def member_feed(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def detect(content: Column) -> Column:
 def cents(amount: Column, decimal: str = ".") -> Column:
     plain = F.regexp_replace(amount, "[^0-9,.-]", "")
     plain = F.regexp_replace(plain, ",", ".") if decimal == "," else F.regexp_replace(plain, ",", "")
-    return (F.round(plain.try_cast("decimal(24,4)"), 2) * 100).cast("bigint")
+    return (F.round(plain.try_cast("decimal(24,4)"), 2) * 100).try_cast("bigint")
 
 
 def _rows(files: DataFrame, pieces: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from remitweave.functions import narration
+
 
 def tie_out(settlements: DataFrame, payments: DataFrame) -> DataFrame:
     """Per settlement: members, their gross and net sums, and the residual against the stated net.
@@ -29,14 +31,15 @@ def tie_out(settlements: DataFrame, payments: DataFrame) -> DataFrame:
 def bank_check(settlements: DataFrame, credits: DataFrame) -> DataFrame:
     """Best bank credit of each settlement: transfer number and amount, number only, amount only, none.
 
-    Transfer numbers are taken out of the descriptions, so that both lookups are equality joins.
+    Transfer numbers, in any form that a narration gives them, are taken out of the descriptions, so that both lookups are equality joins.
     """
-    rows = credits.withColumn("found_utr", F.regexp_extract("description", r"(UTR\d{12})", 1))
+    rows = credits.withColumn("found_utr", narration.transfer_number(F.col("description")))
     by_utr = settlements.join(
-        rows.filter("found_utr <> ''").select("found_utr", "entry_id", F.col("amount_cents").alias("credit")), F.col("utr") == F.col("found_utr")
+        rows.filter("found_utr IS NOT NULL").select("found_utr", "entry_id", F.col("amount_cents").alias("credit")),
+        F.regexp_replace(F.upper("utr"), "^UTR", "") == F.col("found_utr"),
     ).select("settlement_id", "entry_id", "credit", F.when(F.col("credit") == F.col("net_cents"), 0).otherwise(1).alias("tier"))
     by_amount = settlements.join(
-        rows.filter("found_utr = ''").select("entry_id", F.col("amount_cents").alias("credit"), F.col("ts")),
+        rows.filter("found_utr IS NULL").select("entry_id", F.col("amount_cents").alias("credit"), F.col("ts")),
         (F.col("net_cents") == F.col("credit")) & F.col("ts").between(F.col("settled_at") - 7 * 86400, F.col("settled_at") + 7 * 86400),
     ).select("settlement_id", "entry_id", "credit", F.lit(2).alias("tier"))
     best = by_utr.unionByName(by_amount).groupBy("settlement_id").agg(F.min(F.struct("tier", "entry_id", "credit")).alias("b"))

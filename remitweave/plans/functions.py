@@ -123,7 +123,7 @@ def repeated_fees(s, d):
 
 
 def tds(s, d):
-    return fees.tds(bridge.gateway(s, d).withColumn("ts", F.col("ts") + 20 * 365 * 86400), "payer_id", 50_000_000)
+    return fees.tds(bridge.gateway(s, d).withColumn("ts", F.col("ts") + 20 * 365 * 86400), "payee_id", 50_000_000)
 
 
 def tcs(s, d):
@@ -136,7 +136,7 @@ def itc(s, d):
 
 
 def claims(s, d):
-    f = st.Feeds(s, d)
+    f = st.Feeds(s, d, once=True)
     from remitweave.operators import tie_out
 
     return fees.claims(fees.audit(f.gateway), tie_out.bank_check(f.settlements, f.bank), tie_out.tie_out(f.settlements, f.gateway))
@@ -147,7 +147,7 @@ def calendar(s, d):
 
 
 def due_dates(s, d):
-    dim = times.calendar(s, "1990-01-01", "2010-12-31").persist()
+    dim = times.calendar(s, "1990-01-01", "2010-12-31")
     rows = st.Feeds(s, d).settlements.select("settlement_id", times.ist_date(F.col("settled_at")).alias("day"), times.ist_date(F.col("settled_at") - 950400).alias("taken"))
     out = times.add_working_days(rows, "day", 2, dim, "due")
     out = times.working_days_between(out, "taken", "day", dim, "lag")
@@ -210,9 +210,9 @@ SQL = {
     "fee_audit": _AUDIT.rstrip().rstrip(",") + "\n---SELECT * FROM audit",
     "fee_shortfall": "SELECT settlement_id, ok % 200 AS difference_cents, CASE WHEN ok % 200 > 100 THEN 'HIGH' ELSE 'WARNING' END AS severity FROM settlement WHERE ok % 4 = 0 AND ok % 200 > 1",
     "repeated_fees": "r AS (SELECT txn_id, count(*) OVER (PARTITION BY ref, fee_cents ORDER BY ts, txn_id ROWS UNBOUNDED PRECEDING) AS times FROM gateway)\n---SELECT * FROM r WHERE times > 1",
-    "tds_194o": f"""p AS (SELECT *, ts + 630720000 AS t2 FROM gateway), q AS (SELECT payer_id, amount_cents AS g, coalesce(sum(amount_cents) OVER (PARTITION BY payer_id ORDER BY t2, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, {_rate(_ist('t2'), fees.TDS)} AS rate FROM p),
-        x AS (SELECT payer_id, rate, CAST(greatest(0, least(g, before + g - 50000000)) AS BIGINT) AS taxable FROM q)
----SELECT payer_id, CAST(sum(taxable) AS BIGINT) AS taxable_cents, CAST(sum(round_even(taxable * rate / 10000, 0)) AS BIGINT) AS tds_cents FROM x WHERE rate IS NOT NULL AND taxable > 0 GROUP BY 1""",
+    "tds_194o": f"""p AS (SELECT *, ts + 630720000 AS t2 FROM gateway), q AS (SELECT payee_id, amount_cents AS g, coalesce(sum(amount_cents) OVER (PARTITION BY payee_id, year({_ist('t2')} - INTERVAL 3 MONTH) ORDER BY t2, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, {_rate(_ist('t2'), fees.TDS)} AS rate FROM p),
+        x AS (SELECT payee_id, rate, CAST(greatest(0, least(g, before + g - 50000000)) AS BIGINT) AS taxable FROM q)
+---SELECT payee_id, CAST(sum(taxable) AS BIGINT) AS taxable_cents, CAST(sum(round_even(taxable * rate / 10000, 0)) AS BIGINT) AS tds_cents FROM x WHERE rate IS NOT NULL AND taxable > 0 GROUP BY 1""",
     "tcs_52": f"p AS (SELECT payee_id, amount_cents, {_rate(_ist('ts + 756864000'), fees.TCS)} AS rate FROM gateway)\n---SELECT payee_id, CAST(sum(round_even(amount_cents * rate / 10000, 0)) AS BIGINT) AS tcs_cents FROM p WHERE rate IS NOT NULL GROUP BY 1",
     "itc_check": """g AS (SELECT payee_id, CAST(sum(gst_cents) AS BIGINT) AS d, CAST(sum(CASE WHEN pk % 100 < ok % 100 THEN gst_cents * 2 ELSE 0 END) AS BIGINT) AS i FROM gateway GROUP BY 1)
 ---SELECT payee_id, CASE WHEN abs(i - d) <= 1 THEN 'matched' WHEN i > d THEN 'invoice_more' ELSE 'invoice_less' END AS verdict, least(i, d) AS claimable_cents FROM g""",

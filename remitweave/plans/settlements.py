@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from remitweave.operators import linkage, tie_out
 from remitweave.plans.bridge_sql import sql
 from remitweave.sources import bridge
+from remitweave.sources.shared import written
 
 
 class Feeds:
-    def __init__(self, spark, sf_dir):
-        self.gateway = bridge.gateway(spark, sf_dir)
+    """The gateway's payments, which need a shuffle to place them, and what is derived from them. ``once``: they are written once for plans that
+    read them several times, so that the order lines are scanned and shuffled once."""
+
+    def __init__(self, spark, sf_dir, once=False):
+        self.gateway = written(bridge.gateway(spark, sf_dir)) if once else bridge.gateway(spark, sf_dir)
         self.ledger = bridge.ledger(self.gateway)
         self.settlements = bridge.settlements(self.gateway)
         self.bank = bridge.bank(self.settlements)
@@ -24,12 +28,12 @@ class Feeds:
 
 
 def flagship(spark, sf_dir):
-    f = Feeds(spark, sf_dir)
+    f = Feeds(spark, sf_dir, once=True)
     return tie_out.settlement_report(f.settlements, f.gateway, f.bank, f.ledger)
 
 
 def _pool(spark, sf_dir):
-    f = Feeds(spark, sf_dir)
+    f = Feeds(spark, sf_dir, once=True)
     both = f.gateway.select("source", "txn_id", "ref", "memo", "amount_cents", "ts", "ok").unionByName(f.ledger.select("source", "txn_id", "ref", "memo", "amount_cents", "ts", "ok"))
     return f, linkage.pools(f.settlements, both, "ok")
 
@@ -111,7 +115,7 @@ ORACLES = {k: sql(v) for k, v in SQL.items()}
 
 
 def _cash(s, d):
-    f = Feeds(s, d)
+    f = Feeds(s, d, once=True)
     cleared = tie_out.settlement_report(f.settlements, f.gateway, f.bank, f.ledger).filter("status LIKE 'verified%'").select("settlement_id").join(f.settlements, "settlement_id").select("ok")
     return tie_out.cash_position(f.settlements, f.gateway, f.bank, cleared, f.gateway.filter("pk % 97 = 0").select("txn_id"))
 
