@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from remitweave.functions import money, narration, times
 from remitweave.operators import compliance, fees, linkage, subset_sum
+from remitweave.plans import catalog
 
 
 @pytest.mark.parametrize(
@@ -64,3 +65,8 @@ def test_a_cut_pool_withholds_what_search_finds(spark):
     whole = subset_sum.match(linkage.capped(pool(3), 10), tolerance=0).first()  # the anchored set is whole
     assert (whole["tier"], whole["outcome"], whole["members"]) == ("anchor", "unique", "k000,k001,k002")
     assert {r["truncated"] for r in linkage.capped(pool(0), 30).collect()} == {False}
+
+
+def test_no_false_clear(spark):
+    rows = {r["kind"]: r["n"] for r in catalog.QUERIES["verdict_scores"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows.get("false_clear", 0) == 0 and sum(rows.values()) > 0
