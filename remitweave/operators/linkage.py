@@ -25,9 +25,16 @@ def in_window(ts: Column, settled: Column, days: int = 5) -> Column:
 
 
 def pools(settlements: DataFrame, payments: DataFrame, group: str, days: int = 5) -> DataFrame:
-    """Candidates of each settlement: the payments of its group (merchant, account) in its window."""
-    right = payments.select(F.col(group).alias("_g"), txn_key(F.col("source"), F.col("txn_id")).alias("txn_key"), "source", "ref", "memo", "amount_cents", "ts")
-    return settlements.join(right, (F.col(group) == F.col("_g")) & in_window(F.col("ts"), F.col("settled_at"), days)).drop("_g")
+    """Candidates of each settlement: the payments of its group (merchant, account) in its window.
+
+    The window is cut into days, so that the join is an equality on group and day: a busy merchant's payments are spread over its
+    days and meet only the settlements whose window holds that day.
+    """
+    left = settlements.withColumn("_day", F.explode(F.sequence(F.floor((F.col("settled_at") - days * 86400) / 86400), F.floor(F.col("settled_at") / 86400))))
+    right = payments.select(
+        F.col(group).alias("_g"), F.floor(F.col("ts") / 86400).alias("_d"), txn_key(F.col("source"), F.col("txn_id")).alias("txn_key"), "source", "ref", "memo", "amount_cents", "ts"
+    )
+    return left.join(right, (F.col(group) == F.col("_g")) & (F.col("_day") == F.col("_d")) & in_window(F.col("ts"), F.col("settled_at"), days)).drop("_g", "_d", "_day")
 
 
 def signals(pool: DataFrame) -> DataFrame:
@@ -66,10 +73,12 @@ def capped(rows: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
 
 
 def member_feed(rows: DataFrame) -> DataFrame:
-    """If the anchored candidates come from one feed only, members come from it too: others go unless anchored."""
+    """Members come from one feed: the one that the settlement declares (``declared_feed``, if there is such a column), else the only one that
+    its anchored candidates come from. Others go unless anchored."""
     feeds = rows.filter("anchor").groupBy("settlement_id").agg(F.countDistinct("source").alias("_n"), F.min("source").alias("feed"))
     one = feeds.filter("_n = 1").select("settlement_id", "feed")
-    return rows.join(one, "settlement_id", "left").filter(F.col("feed").isNull() | (F.col("source") == F.col("feed")) | F.col("anchor"))
+    feed = F.coalesce("declared_feed", "feed") if "declared_feed" in rows.columns else F.col("feed")
+    return rows.join(one, "settlement_id", "left").withColumn("feed", feed).filter(F.col("feed").isNull() | (F.col("source") == F.col("feed")) | F.col("anchor"))
 
 
 def band(n_anchored: Column, n_matched: Column, n_matched_anchored: Column, n_named: Column, n_matched_named: Column, n_learned_matched: Column, n_learned: Column, mean_link: Column) -> Column:
@@ -116,6 +125,30 @@ def anchored_verdicts(settlements: DataFrame, rows: DataFrame, tolerance: int =
     )
 
 
+def verdicts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """What may clear: a solver's result (``subset_sum.match``) for the candidates ``rows`` (settlement_id, txn_key, anchor, score), banded by how its
+    members stand to the anchored ones, and gated. Members are looked up by key; no settlement's candidates are gathered."""
+    sizes = rows.groupBy("settlement_id").agg(F.count(F.lit(1)).alias("n_pool"), F.count_if("anchor").alias("n_anchored"))
+    members = found.filter("n_members > 0").select("settlement_id", F.explode(F.split("members", ",")).alias("txn_key"))
+    stand = members.join(rows.select("settlement_id", "txn_key", "anchor", "score").dropDuplicates(["settlement_id", "txn_key"]), ["settlement_id", "txn_key"]).groupBy("settlement_id").agg(
+        F.count_if("anchor").alias("n_matched_anchored"), F.avg("score").alias("mean_link")
+    )
+    none = F.lit(0)
+    how = band(F.col("n_anchored"), F.col("n_members"), F.coalesce("n_matched_anchored", none), none, none, none, none, F.coalesce("mean_link", F.lit(0.0)))
+    unique = F.col("outcome") == "unique"
+    reason = F.when(F.col("cleared"), None).when(~unique, F.col("outcome")).when(F.col("structural") == 0, "no_corroborating_evidence").otherwise("below_confidence_gate")
+    return (
+        found.join(sizes, "settlement_id")
+        .join(stand, "settlement_id", "left")
+        .withColumn("band", F.when(unique, how).otherwise("arithmetic_only"))
+        .withColumn("structural", confidence(F.col("band"), F.col("n_pool")))
+        .withColumn("confidence", F.round(F.least("confidence", "structural"), 3))
+        .withColumn("cleared", unique & (F.col("confidence") >= GATE))
+        .withColumn("withheld_reason", reason)
+        .select("settlement_id", "n_pool", "n_anchored", "tier", "outcome", "n_members", "members", "residual_cents", "band", "confidence", "cleared", "withheld_reason")
+    )
+
+
 def unreferenced(members: DataFrame) -> DataFrame:
     """Matched candidates that are not anchored and share no token with an anchored one of their settlement."""
     tokens = members.select("settlement_id", "txn_key", "anchor", F.explode_outer(refs.tokens(F.col("ref"))).alias("token"))

@@ -56,9 +56,10 @@ claims AS (SELECT 'STL' || lpad(ok::VARCHAR, 9, '0') AS settlement_id, 'gateway:
            UNION ALL SELECT 'STL' || lpad((ok + 1)::VARCHAR, 9, '0'), 'gateway:' || txn_id FROM gateway WHERE ok % 8 = 0 AND ln = 1)
 ---"""
 
-_SIGNALS = """both_ AS (SELECT source, txn_id, ref, memo, amount_cents, ts, ok FROM gateway UNION ALL SELECT source, txn_id, ref, memo, amount_cents, ts, ok FROM ledger),
+_POOL = """both_ AS (SELECT source, txn_id, ref, memo, amount_cents, ts, ok FROM gateway UNION ALL SELECT source, txn_id, ref, memo, amount_cents, ts, ok FROM ledger),
 pool AS (SELECT s.*, source || ':' || txn_id AS txn_key, source, ref, memo, b.amount_cents, b.ts FROM settlement s JOIN both_ b ON s.ok = b.ok AND b.ts BETWEEN settled_at - 432000 AND settled_at),
-sized AS (SELECT *, count(*) OVER (PARTITION BY settlement_id) AS n_pool FROM pool),
+"""
+SIGNALS_OF = """sized AS (SELECT *, count(*) OVER (PARTITION BY settlement_id) AS n_pool FROM pool),
 tok AS (SELECT settlement_id, txn_key, n_pool, unnest(list_distinct(list_filter(regexp_extract_all(upper(ref), '[A-Z]+|[0-9]+'), lambda t: len(t) >= 4))) AS token FROM sized),
 shared AS (SELECT *, count(*) OVER (PARTITION BY settlement_id, token) AS n FROM tok),
 clu AS (SELECT DISTINCT settlement_id, txn_key FROM shared WHERE n BETWEEN 2 AND greatest(2, least(60, n_pool // 8))),
@@ -68,6 +69,7 @@ sig AS (SELECT z.*, c.txn_key IS NOT NULL AS cluster, regexp_matches(upper(regex
 scored AS (SELECT *, round(greatest(0, least(1, anchor::INT * 0.55 + cluster::INT * 0.25 + amount::INT * 0.15 + "window"::INT * 0.10 - (1 - "window"::INT) * 0.30)), 4)::DOUBLE AS score FROM sig),
 placed AS (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY anchor DESC, score DESC, txn_key) AS place FROM scored)
 ---"""
+_SIGNALS = _POOL + SIGNALS_OF
 
 SQL = {
     "flagship_tie_out": REPORT + "SELECT * FROM report",
