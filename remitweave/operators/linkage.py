@@ -125,25 +125,28 @@ def anchored_verdicts(settlements: DataFrame, rows: DataFrame, tolerance: int =
     )
 
 
-def verdicts(rows: DataFrame, found: DataFrame) -> DataFrame:
+def verdicts(rows: DataFrame, found: DataFrame, window: DataFrame | None = None) -> DataFrame:
     """What may clear: a solver's result (``subset_sum.match``) for the candidates ``rows`` (settlement_id, txn_key, anchor, score), banded by how its
-    members stand to the anchored ones, and gated. Members are looked up by key; no settlement's candidates are gathered."""
+    members stand to the anchored ones, and gated. Members are looked up by key; no settlement's candidates are gathered. With ``window``, the
+    whole pools, sets with a substitutable member are withheld (``substituted``)."""
     sizes = rows.groupBy("settlement_id").agg(F.count(F.lit(1)).alias("n_pool"), F.count_if("anchor").alias("n_anchored"))
     members = found.filter("n_members > 0").select("settlement_id", F.explode(F.split("members", ",")).alias("txn_key"))
     stand = members.join(rows.select("settlement_id", "txn_key", "anchor", "score").dropDuplicates(["settlement_id", "txn_key"]), ["settlement_id", "txn_key"]).groupBy("settlement_id").agg(
         F.count_if("anchor").alias("n_matched_anchored"), F.avg("score").alias("mean_link")
     )
+    twins = substituted(members, rows, window) if window is not None else members.select("settlement_id").limit(0)
     none = F.lit(0)
     how = band(F.col("n_anchored"), F.col("n_members"), F.coalesce("n_matched_anchored", none), none, none, none, none, F.coalesce("mean_link", F.lit(0.0)))
     unique = F.col("outcome") == "unique"
-    reason = F.when(F.col("cleared"), None).when(~unique, F.col("outcome")).when(F.col("structural") == 0, "no_corroborating_evidence").otherwise("below_confidence_gate")
+    reason = F.when(F.col("cleared"), None).when(~unique, F.col("outcome")).when(F.col("twin"), "substitutable").when(F.col("structural") == 0, "no_corroborating_evidence").otherwise("below_confidence_gate")
     return (
         found.join(sizes, "settlement_id")
         .join(stand, "settlement_id", "left")
+        .join(twins.withColumn("twin", F.lit(True)), "settlement_id", "left")
         .withColumn("band", F.when(unique, how).otherwise("arithmetic_only"))
         .withColumn("structural", confidence(F.col("band"), F.col("n_pool")))
         .withColumn("confidence", F.round(F.least("confidence", "structural"), 3))
-        .withColumn("cleared", unique & (F.col("confidence") >= GATE))
+        .withColumn("cleared", unique & (F.col("confidence") >= GATE) & F.col("twin").isNull())
         .withColumn("withheld_reason", reason)
         .select("settlement_id", "n_pool", "n_anchored", "tier", "outcome", "n_members", "members", "residual_cents", "band", "confidence", "cleared", "withheld_reason")
     )
@@ -165,6 +168,18 @@ def substitutable(matched: DataFrame, payments: DataFrame) -> DataFrame:
     return free.select("source", "txn_id", "twin_source", "twin_id")
 
 
+def substituted(members: DataFrame, candidates: DataFrame, window: DataFrame) -> DataFrame:
+    """Settlements with a matched payment that another feed's copy could replace: of the same amount, in the window, but outside the
+    candidates that were solved over. Anchored members and those of the settlement's member feed are exempt.
+
+    members: settlement_id, txn_key. candidates: also source, amount_cents, anchor and ``feed`` (null: none known). window: all of the pool.
+    Amounts outside are counted once for each feed before they are joined.
+    """
+    outside = window.join(candidates, ["settlement_id", "txn_key"], "left_anti").select("settlement_id", "amount_cents", F.col("source").alias("_other")).distinct()
+    weak = candidates.filter(~F.col("anchor") & ~F.coalesce(F.col("source") == F.col("feed"), F.lit(False))).select("settlement_id", "txn_key", "source", "amount_cents")
+    return members.join(weak, ["settlement_id", "txn_key"]).join(outside, ["settlement_id", "amount_cents"]).filter("source <> _other").select("settlement_id").distinct()
+
+
 def interchangeable(pool: DataFrame, picked: DataFrame) -> DataFrame:
     """Groups of candidates alike in amount, currency and reference of which only some were picked, and the
     oldest-first proposal. pool and picked: txn_id, amount_cents, currency, ref; pool also ts."""

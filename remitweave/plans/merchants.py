@@ -26,26 +26,26 @@ def signals(f: Feeds) -> DataFrame:
     return linkage.score(linkage.signals(linkage.pools(f.settlements, f.both, "sk")))
 
 
-def candidates(f: Feeds) -> DataFrame:
+def candidates(window: DataFrame) -> DataFrame:
     """What each payout is solved from: its pool without payments that name another payout, of its member feed, best candidates first."""
-    rows = written(signals(f))
-    free = review.without_siblings(rows, rows.filter("anchor"))
+    free = review.without_siblings(window, window.filter("anchor"))
     return linkage.capped(linkage.member_feed(free)).withColumn("target_cents", F.col("net_cents") + F.col("declared_deductions"))
 
 
-def _solved(rows: DataFrame) -> DataFrame:
-    pool = written(rows.select(*TARGET))
-    return linkage.verdicts(pool, written(subset_sum.match(pool)))
+def _solved(f: Feeds) -> DataFrame:
+    window = written(signals(f))
+    pool = written(candidates(window).select(*TARGET, "source", "feed"))
+    return linkage.verdicts(pool, written(subset_sum.match(pool.select(*TARGET), confirm=True)), window)
 
 
 def verdicts(s, d):
-    return _solved(candidates(Feeds(s, d)))
+    return _solved(Feeds(s, d))
 
 
 def scores(s, d):
     """Verdicts against the planted truth: right is the payout's own set of payments, whole and no more, behind an unchanged deposit."""
     f = Feeds(s, d)
-    v = written(_solved(candidates(f)))
+    v = written(_solved(f))
     found = v.filter("n_members > 0").select("settlement_id", F.explode(F.split("members", ",")).alias("txn_key"))
     agreed = review.blind_check(f.truth, found).select("settlement_id", "agrees")
     known = f.settlements.select("settlement_id", "changed")
