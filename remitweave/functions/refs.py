@@ -37,6 +37,16 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(runs, F.upper), lambda t: F.length(t) >= MIN_TOKEN))
 
 
+def is_identifier(token: Column) -> Column:
+    """A token with a digit may identify something; a word doesn't."""
+    return F.coalesce(token.rlike("[0-9]"), F.lit(False))
+
+
+def as_written(raw: Column, ref: Column) -> Column:
+    """A reference as its source wrote it, while it still is the same reference; else empty."""
+    return F.when(canonical(raw) == ref, F.coalesce(raw, F.lit(""))).otherwise("")
+
+
 def date_like(token: Column) -> Column:
     """A year from 1900 to 2099, or eight digits that are a date in either order."""
     year = token.rlike("^(19|20)[0-9]{2}$")

@@ -45,6 +45,11 @@ def actor(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(name), r"\s+", " "))
 
 
+def marker(who: Column, act: Column) -> Column:
+    """The tail of a log line that says who did what."""
+    return F.concat(F.lit(" [sod actor="), actor(who), F.lit("|act="), act, F.lit("]"))
+
+
 def conflicts(approvals: DataFrame, makers: DataFrame) -> DataFrame:
     """Approvals by someone who made an earlier decision on the same batch."""
     made = makers.select("batch_id", actor(F.col("actor")).alias("who")).distinct()

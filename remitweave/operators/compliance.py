@@ -220,6 +220,11 @@ def disposition(found: DataFrame) -> DataFrame:
     return found.withColumn("disposition", F.when(auto, "auto").otherwise("human"))
 
 
+def triage(decided: DataFrame) -> DataFrame:
+    """How many findings close by themselves, and how many a person decides, by rule."""
+    return decided.groupBy("rule_id").agg(F.count_if(F.col("disposition") == "auto").alias("n_auto"), F.count_if(F.col("disposition") == "human").alias("n_human"))
+
+
 def cycles(edges: DataFrame, *, legs: tuple[int, int] = (3, 5), hop: int = DAY) -> DataFrame:
     """Payments that return to their first payer in 3 to 5 legs through distinct parties, each hop at most ``hop`` seconds
     after the one before. edges: txn_id, payer, payee, ts. One row per set of payments: legs, txn_ids (sorted, comma-joined)."""

@@ -23,7 +23,8 @@ METHOD_ALIASES = {
 
 
 def bps(amount: Column, rate: Column | int) -> Column:
-    return F.bround(amount * rate / 10000).cast("bigint")
+    """Half to even, in decimals; beyond 64 bits null."""
+    return F.bround(amount.cast("decimal(28,0)") * (rate if isinstance(rate, Column) else F.lit(rate)).cast("decimal(5,0)") / F.lit(10000).cast("decimal(5,0)"), 0).try_cast("bigint")
 
 
 def normal_method(raw: Column) -> Column:
@@ -42,8 +43,8 @@ def expected_fee(amount: Column, method: Column) -> Column:
 
 def gross_target(net: Column, declared: Column) -> Column:
     """Gross that a net deposit stands for: declared deductions, else the default card turned round."""
-    share = 1 - (DEFAULT_BPS + DEFAULT_TAX_BPS) / 10000
-    return F.when(declared.isNotNull(), net + declared).otherwise(F.bround((net + DEFAULT_FLAT) / F.lit(share)).cast("bigint"))
+    kept = F.lit(10000 - DEFAULT_BPS - DEFAULT_TAX_BPS).cast("decimal(5,0)")
+    return F.when(declared.isNotNull(), net + declared).otherwise(F.bround((net + DEFAULT_FLAT).cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)") / kept, 0).try_cast("bigint"))
 
 
 def fee_breakdown(settlements: DataFrame) -> DataFrame:
@@ -88,6 +89,17 @@ def audit(payments: DataFrame) -> DataFrame:
     return rows.select("txn_id", F.explode(found).alias("f")).select("txn_id", "f.*")
 
 
+def ranked(audited: DataFrame) -> DataFrame:
+    """Findings, the gravest first, then the largest differences."""
+    gravity = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "WARNING", 1).otherwise(2)
+    return audited.orderBy(gravity, F.desc(F.abs("difference_cents")), "txn_id", "finding")
+
+
+def summary(audited: DataFrame) -> DataFrame:
+    """Counts and differences by finding and severity."""
+    return audited.groupBy("finding", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum("difference_cents").alias("difference_cents"))
+
+
 def shortfall(settlements: DataFrame, payments: DataFrame) -> DataFrame:
     """Deductions of a settlement against its payments' own fees and tax."""
     items = payments.groupBy("ok").agg(F.sum(F.col("fee_cents") + F.col("gst_cents")).alias("items_cents"))

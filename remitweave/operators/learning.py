@@ -12,6 +12,12 @@ SMOOTHING, LEAST_SETTLEMENTS, SHARPER = 0.5, 3, 0.05
 BANDS = (0.0, 0.5, 0.7, 0.85, 0.95)
 
 
+def latest_outcomes(outcomes: DataFrame) -> DataFrame:
+    """The reviewers' last word on each batch (batch_id, confidence, confirmed, reviewer, at); of equal times the greatest row."""
+    last = F.max_by(F.struct("confidence", "confirmed", "reviewer"), F.struct("at", "reviewer", "confidence", "confirmed"))
+    return outcomes.groupBy("batch_id").agg(last.alias("o")).select("batch_id", "o.*")
+
+
 def lag_level(days: Column) -> Column:
     return F.when(days.between(0, 3), days.cast("string")).when(days.between(4, 7), "4-7").otherwise("other")
 

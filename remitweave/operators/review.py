@@ -38,6 +38,12 @@ def without_siblings(candidates: DataFrame, anchored: DataFrame) -> DataFrame:
     return candidates.join(taken, ["settlement_id", "txn_key"], "left_anti")
 
 
+def matched_rows(members: DataFrame, payments: DataFrame) -> DataFrame:
+    """The payments of each matched set (settlement_id, txn_key), the largest first."""
+    order = Window.partitionBy("settlement_id").orderBy(F.desc("amount_cents"), "txn_key")
+    return members.join(payments, "txn_key").withColumn("place", F.row_number().over(order))
+
+
 def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Per text column: distinct share, share of dates, of numbers (bare integers weigh 0.4), of identifiers, mean length."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("e")).select("e.*").filter("v IS NOT NULL AND v <> ''")
