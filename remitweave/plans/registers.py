@@ -62,7 +62,7 @@ def latest_outcomes(s, d):
 def raw_references(s, d):
     k = F.col("ok") % 3
     raw = F.when(k == 0, F.concat(F.lit("ord-"), F.substring("ref", 4, 9))).when(k == 1, F.concat(F.lit("ORD "), "txn_id")).otherwise(None)
-    return bridge.gateway(s, d).select("txn_id", refs.as_written(raw, F.col("ref")).alias("as_written"), refs.is_identifier(F.substring("memo", 1, 11)).alias("identifier"))
+    return bridge.gateway(s, d).select("txn_id", refs.as_written(raw, F.col("ref")).alias("as_written"), refs.is_identifier(F.substring("memo", F.lit(1), (11 + F.col("ok") % 3).cast("int"))).alias("identifier"))
 
 
 QUERIES = {
@@ -95,6 +95,6 @@ SQL = {
     "amount_index": "SELECT txn_id, max(abs(amount_cents)) AS amount_cents FROM gateway GROUP BY 1",
     "latest_outcomes": """SELECT payee_id || '-' || (ok % 50) AS batch_id, pk % 100 AS confidence, pk % 2 = 0 AS confirmed, payer_id AS reviewer FROM gateway
         QUALIFY row_number() OVER (PARTITION BY payee_id || '-' || (ok % 50) ORDER BY ts DESC, payer_id DESC, pk % 100 DESC, pk % 2 = 0 DESC) = 1""",
-    "raw_references": "SELECT txn_id, CASE WHEN ok % 3 = 0 THEN 'ord-' || ref[4:12] ELSE '' END AS as_written, false AS identifier FROM gateway",
+    "raw_references": "SELECT txn_id, CASE WHEN ok % 3 = 0 THEN 'ord-' || ref[4:12] ELSE '' END AS as_written, ok % 3 <> 0 AS identifier FROM gateway",
 }
 ORACLES = {k: sql(v) for k, v in SQL.items()}
