@@ -27,14 +27,15 @@ def in_window(ts: Column, settled: Column, days: int = 5) -> Column:
 def pools(settlements: DataFrame, payments: DataFrame, group: str, days: int = 5) -> DataFrame:
     """Candidates of each settlement: the payments of its group (merchant, account) in its window.
 
-    The window is cut into days, so that the join is an equality on group and day: a busy merchant's payments are spread over its
-    days and meet only the settlements whose window holds that day.
+    Time is cut into slots as long as the window, so that a window lies in two of them and the join is an equality on group and slot: a busy
+    merchant's payments are spread over its slots and meet only the settlements of their time.
     """
-    left = settlements.withColumn("_day", F.explode(F.sequence(F.floor((F.col("settled_at") - days * 86400) / 86400), F.floor(F.col("settled_at") / 86400))))
+    span = days * 86400
+    left = settlements.withColumn("_slot", F.explode(F.sequence(F.floor((F.col("settled_at") - span) / span), F.floor(F.col("settled_at") / span))))
     right = payments.select(
-        F.col(group).alias("_g"), F.floor(F.col("ts") / 86400).alias("_d"), txn_key(F.col("source"), F.col("txn_id")).alias("txn_key"), "source", "ref", "memo", "amount_cents", "ts"
+        F.col(group).alias("_g"), F.floor(F.col("ts") / span).alias("_s"), txn_key(F.col("source"), F.col("txn_id")).alias("txn_key"), "source", "ref", "memo", "amount_cents", "ts"
     )
-    return left.join(right, (F.col(group) == F.col("_g")) & (F.col("_day") == F.col("_d")) & in_window(F.col("ts"), F.col("settled_at"), days)).drop("_g", "_d", "_day")
+    return left.join(right, (F.col(group) == F.col("_g")) & (F.col("_slot") == F.col("_s")) & in_window(F.col("ts"), F.col("settled_at"), days)).drop("_g", "_s", "_slot")
 
 
 def signals(pool: DataFrame) -> DataFrame:
