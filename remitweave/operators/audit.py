@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +18,27 @@ def body(batch: str = "batch_id", seq: str = "seq", agent: str = "agent", detail
 
 
 def sealed(entries: DataFrame) -> DataFrame:
-    """Entries (batch_id, seq, agent, detail) with prev_hash and hash. A batch's chain is folded in order in one row:
-    a chain is sequential by nature, batches are independent."""
-    link = lambda acc, e: F.struct(
-        F.sha2(F.concat_ws("|", acc["last"], e["body"]), 256).alias("last"),
-        F.array_append(acc["rows"], F.struct(e["seq"].alias("seq"), e["agent"].alias("agent"), e["detail"].alias("detail"), acc["last"].alias("prev_hash"), F.sha2(F.concat_ws("|", acc["last"], e["body"]), 256).alias("hash"))).alias("rows"),
-    )
-    rows = entries.withColumn("body", body()).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("seq", "agent", "detail", "body"))).alias("all"))
-    kind = f"array<struct<seq:{entries.schema['seq'].dataType.simpleString()},agent:string,detail:string,prev_hash:string,hash:string>>"
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast(kind).alias("rows"))
-    return rows.select("batch_id", F.explode(F.aggregate("all", start, link, lambda acc: acc["rows"])).alias("e")).select("batch_id", "e.*")
+    """Entries (batch_id, seq, agent, detail) with prev_hash and hash. A chain is sequential by nature, batches are independent: each
+    batch's entries stream in order through one task, which holds one record batch and the hash before it."""
+    kept = entries.select("batch_id", "seq", "agent", "detail")
+    order = kept.select("*", F.to_json(F.struct("batch_id")).alias("_chain"), body().alias("_body")).repartition("_chain").sortWithinPartitions("_chain", "seq", "agent", "detail")
+
+    names = kept.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = None, GENESIS
+        for batch in batches:
+            before, own = [], []
+            for name, text in zip(batch.column("_chain").to_pylist(), batch.column("_body").to_pylist(), strict=True):
+                if name != chain:
+                    chain, last = name, GENESIS
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(before, pa.string()), pa.array(own, pa.string())], [*names, "prev_hash", "hash"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    return order.mapInArrow(fold, f"{kind}, prev_hash string, hash string")
 
 
 def verify(chain: DataFrame) -> DataFrame:

@@ -228,7 +228,10 @@ def triage(decided: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, *, legs: tuple[int, int] = (3, 5), hop: int = DAY) -> DataFrame:
     """Payments that return to their first payer in 3 to 5 legs through distinct parties, each hop at most ``hop`` seconds
     after the one before. edges: txn_id, payer, payee, ts. One row per set of payments: legs, txn_ids (sorted, comma-joined)."""
-    step = edges.filter("payer <> payee").select(F.col("txn_id").alias("t"), F.col("payer").alias("p"), F.col("payee").alias("q"), F.col("ts").alias("s"), F.floor(F.col("ts") / hop).alias("slot"))
+    both = edges.filter("payer <> payee")
+    # a party of a cycle pays and is paid
+    both = both.join(both.select(F.col("payee").alias("payer")).distinct(), "payer", "left_semi").join(both.select(F.col("payer").alias("payee")).distinct(), "payee", "left_semi")
+    step = both.select(F.col("txn_id").alias("t"), F.col("payer").alias("p"), F.col("payee").alias("q"), F.col("ts").alias("s"), F.floor(F.col("ts") / hop).alias("slot"))
     # each hop lands in the slot of its predecessor or the next one: an equality that bounds the range join
     wide = step.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") - 1)))
     path = step.select(F.col("p").alias("home"), F.array("p").alias("met"), F.col("q").alias("at"), F.col("s").alias("last"), F.col("slot"), F.array("t").alias("ids"))

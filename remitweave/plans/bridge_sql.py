@@ -28,10 +28,9 @@ bank AS (SELECT 'BNK' || lpad(ok::VARCHAR, 9, '0') AS entry_id, net_cents - CASE
 flow AS (SELECT 'gateway' AS source, event_id::VARCHAR AS txn_id, 'U' || user_id AS payer_id, 'M' || (event_id % 7) AS payee_id,
                CAST(round(value * 100) AS BIGINT) AS amount_cents, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id % 3 = 0 AS is_cash, event_id % 5 = 0 AS is_wire,
                event_type AS memo FROM events),
-edge AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS txn_id, c_nationkey::BIGINT AS payer,
-               s_nationkey::BIGINT AS payee, CAST(epoch(l_shipdate) AS BIGINT) AS ts
-         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-         WHERE l_linenumber = 1 AND l_quantity >= 45 AND c_nationkey <> s_nationkey)
+edge AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS txn_id, o_custkey::BIGINT AS payer,
+               l_partkey::BIGINT AS payee, CAST(epoch(l_shipdate) AS BIGINT) AS ts
+         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_partkey)
 """
 
 

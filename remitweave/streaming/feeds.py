@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType
 
 from remitweave.operators.learning import lag_level
-from remitweave.operators.tie_out import first_writer
 
 NOTIFICATIONS = "event_id string, settlement_id string, amount_cents long, body string, signature string, received timestamp"
 
@@ -40,16 +41,27 @@ def read_notifications(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_claims(claims: DataFrame, path: str, checkpoint: str):
-    """Keep the ledger of consumed payments (txn_key, owner) below ``path``, first writer wins. A batch adds its own folder,
-    named by its number, so that a repeated batch overwrites itself."""
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        parts = [f"{path}/batch={k}" for k in range(number)]
-        known = spark.read.schema("txn_key string, owner string").parquet(*parts) if parts else spark.createDataFrame([], "txn_key string, owner string")
-        first_writer(known, batch).join(known.select("txn_key"), "txn_key", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return claims.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep the ledger of consumed payments (txn_key, owner) below ``path``, first writer wins: the stream's state holds each
+    payment's owner, so that a batch costs its own payments only, however long the ledger (with the RocksDB state store, on disk).
+    A batch adds its own folder, named by its number, so that a repeated batch overwrites itself."""
+
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        best = None
+        for pdf in frames:
+            both = pdf if best is None else pd.concat([best, pdf])
+            best = both.sort_values(["at", "settlement_id"], na_position="first").head(1)
+        owner = best["settlement_id"].iloc[0]
+        state.update((owner,))
+        yield pd.DataFrame({"txn_key": [key[0]], "owner": [owner]})
+
+    owners = claims.groupBy("txn_key").applyInPandasWithState(first, "txn_key string, owner string", "owner string", "append", GroupStateTimeout.NoTimeout)
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return owners.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def lag_counts(members: DataFrame) -> DataFrame:
