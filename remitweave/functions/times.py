@@ -21,10 +21,10 @@ def utc(raw: Column, source: Column) -> Column:
     text = F.trim(raw)
     local = F.try_to_timestamp(F.regexp_replace(text, OFFSET, ""))
     zoned = F.try_to_timestamp(text)
-    out = local
-    for name, zone in SOURCE_ZONES.items():
-        out = F.when(source == name, F.to_utc_timestamp(local, zone)).otherwise(out)
-    return F.when(text.rlike(OFFSET), zoned).otherwise(out)
+    zone = F.lit("UTC")
+    for name, of_feed in SOURCE_ZONES.items():
+        zone = F.when(source == name, of_feed).otherwise(zone)
+    return F.when(text.rlike(OFFSET), zoned).otherwise(F.to_utc_timestamp(local, zone))
 
 
 def day_order(dates: DataFrame, column: str, by: list[str]) -> DataFrame:

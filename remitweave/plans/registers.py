@@ -10,7 +10,7 @@ from remitweave.plans import compliance as screening
 from remitweave.plans import functions, ledgers
 from remitweave.plans import settlements as st
 from remitweave.plans.bridge_sql import sql
-from remitweave.sources import bridge, files
+from remitweave.sources import bridge, files, lists
 
 
 def _text(cents):
@@ -65,7 +65,48 @@ def raw_references(s, d):
     return bridge.gateway(s, d).select("txn_id", refs.as_written(raw, F.col("ref")).alias("as_written"), refs.is_identifier(F.substring("memo", F.lit(1), (11 + F.col("ok") % 3).cast("int"))).alias("identifier"))
 
 
+def _day(seconds, form):
+    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(seconds), "Asia/Kolkata"), form)
+
+
+def settlement_list(s, d):
+    """A statement whose headers name neither amount nor date: debits, zeros and unreadable amounts among credits, a full balance."""
+    k, ok = lambda n: F.col("ok") % n == 0, F.col("ok")
+    credit = F.when(k(7), "").when(k(29), "see note").when(k(31), "0.00").otherwise(_text("net_cents"))
+    raw = st.Feeds(s, d).settlements.select(
+        _day(F.col("settled_at"), "dd/MM/yyyy").alias("Posted"),
+        F.when(k(7), _text("net_cents")).alias("Dr"),
+        credit.alias("Cr"),
+        _text("(net_cents + 100000)").alias("Closing"),
+        F.when(~k(3), F.col("utr")).alias("UTR"),
+        ok.cast("string").alias("Line"),
+    )
+    return lists.settlement_list(raw).select("settlement_id", "derived", "net_cents", F.col("settled").cast("string").alias("settled"), "readable", "day_order", "proven")
+
+
+def report_payments(s, d):
+    """A report in rupees with Indian times; the seventh line of an order is a refund."""
+    refund = F.col("ln") == 7
+    raw = bridge.gateway(s, d).select(
+        F.col("txn_id").alias("Entity ID"),
+        F.when(refund, "refund").otherwise("payment").alias("type"),
+        F.when(refund, "0").otherwise(_text("(amount_cents - fee_cents - gst_cents)")).alias("Credit"),
+        F.when(refund, _text("amount_cents")).alias("Debit"),
+        _text("amount_cents").alias("Amount"),
+        _text("(fee_cents + gst_cents)").alias("Fee"),
+        _text("gst_cents").alias("Tax"),
+        F.concat(F.lit("stl_"), F.substring(bridge.code("STL", "ok", 9), 4, 9)).alias("Settlement ID"),
+        _day(F.col("ts"), "dd/MM/yyyy HH:mm:ss").alias("Settled At"),
+        F.when(F.col("pk") % 2 == 0, "TRUE").alias("settled"),
+        F.col("method"),
+    )
+    return lists.payments(lists.report_items(raw)).select("txn_id", "ref", "amount_cents", "ts", "memo", "status", "gross_cents", "fee_cents", "gst_cents", "method")
+
+
 QUERIES = {
+    "settlement_list": settlement_list,
+    "report_payments": report_payments,
+    "identity_notes": lambda s, d: lists.identity_notes(bridge.gateway(s, d), ["txn_id", "ref", "memo", "payee_id"], "ln"),
     "fee_conventions": fee_conventions,
     "payment_methods": payment_methods,
     "method_weights": method_weights,
@@ -80,6 +121,14 @@ QUERIES = {
     "aml_triage": lambda s, d: compliance.triage(screening.QUERIES["aml_disposition"](s, d)),
 }
 SQL = {
+    "settlement_list": """l AS (SELECT *, (net_cents // 100) || '.' || lpad((net_cents % 100)::VARCHAR, 2, '0') AS t, strftime(to_timestamp(settled_at + 19800) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM settlement WHERE ok % 7 <> 0 AND (ok % 29 = 0 OR ok % 31 <> 0))
+---SELECT CASE WHEN ok % 3 <> 0 THEN utr ELSE 'CREDIT-' || day || '-' || CASE WHEN ok % 29 = 0 THEN 'see note' ELSE t END END AS settlement_id, ok % 3 = 0 AS derived, CASE WHEN ok % 29 <> 0 THEN net_cents END AS net_cents, day AS settled,
+        ok % 29 <> 0 AS readable, 'day' AS day_order, true AS proven FROM l""",
+    "report_payments": """SELECT txn_id, 'STL' || lpad(ok::VARCHAR, 9, '0') AS ref, CASE WHEN ln = 7 THEN -amount_cents ELSE amount_cents - fee_cents - gst_cents END AS amount_cents, ts, CASE WHEN ln = 7 THEN 'refund ' ELSE 'payment ' END || method AS memo,
+        CASE WHEN pk % 2 = 0 THEN 'settled' ELSE 'unsettled' END AS status, amount_cents AS gross_cents, fee_cents, gst_cents, method FROM gateway WHERE ln = 7 OR amount_cents <> fee_cents + gst_cents""",
+    "identity_notes": """c AS (UNPIVOT (SELECT txn_id, ref, memo, payee_id FROM gateway) ON COLUMNS(*) INTO NAME name VALUE v),
+        e AS (SELECT name, 1 - count(DISTINCT v) / count(*) AS r, avg(contains(v, ' ')::INT) > 0.4 AND avg(len(v)) > 15 AS prose FROM c GROUP BY name)
+---SELECT name, prose, NOT prose AND r > 0.5 AS repeats, r > 0.1 AS split, round(r, 6) AS repeated FROM e""",
     "fee_conventions": """SELECT txn_id, CASE ok % 3 WHEN 0 THEN fee_cents WHEN 1 THEN CASE WHEN ln % 2 = 0 THEN fee_cents ELSE fee_cents + gst_cents END END AS fee_cents, CASE WHEN ok % 3 < 2 AND ln % 2 = 0 THEN gst_cents END AS gst_cents FROM gateway""",
     "payment_methods": """SELECT txn_id, CASE ok % 4 WHEN 1 THEN 'card' WHEN 2 THEN 'upi' END AS stated, CASE ok % 4 WHEN 1 THEN 'card' WHEN 2 THEN 'upi' WHEN 3 THEN 'unknown' ELSE CASE method WHEN 'international_card' THEN 'card' ELSE method END END AS method FROM gateway""",
     "method_weights": """m AS (SELECT ok, txn_id, CASE WHEN ln = 7 THEN -amount_cents ELSE amount_cents END AS a, CASE ln % 3 WHEN 1 THEN 'card' WHEN 2 THEN 'upi' END AS m FROM gateway),
