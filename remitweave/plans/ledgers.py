@@ -58,7 +58,7 @@ OPEN = f"""item AS (SELECT 'txn:' || txn_id AS item_id, 'unsettled_payment' AS k
 
 def _members(s, d):
     g = st.Feeds(s, d).gateway
-    return g.select("payee_id", F.col("ok").alias("settlement_id"), (F.col("pk") % 11 - 1).alias("lag"), (F.col("pk") % 3).alias("work"))
+    return g.select("payee_id", F.col("ok").alias("settlement_id"), (F.col("pk") % 11 - 1).alias("lag"), F.when(F.col("payee_id") < "M5", F.col("pk") % 3).otherwise(F.col("pk") % 11 - 1).alias("work"))
 
 
 def lag_profile(s, d):
@@ -74,6 +74,11 @@ def _pairs(s, d):
     return bridge.gateway(s, d).select((F.col("pk") % 100 / 100.0).alias("confidence"), (F.col("ok") % 100 < F.col("pk") % 100).cast("int").alias("right"), "payee_id")
 
 
+def _agreed(s, d):
+    """Reviewers who agree with six in ten, whatever the confidence says."""
+    return bridge.gateway(s, d).select((F.col("pk") % 100 / 100.0).alias("confidence"), (F.col("ok") % 10 < 6).cast("int").alias("right"))
+
+
 def calibrated(s, d):
     points = [(0.2, 0.1), (0.5, 0.6), (0.9, 0.95)]
     return bridge.gateway(s, d).select("txn_id", F.round(learning.interpolate(F.col("pk") % 100 / 100.0, points), 6).alias("calibrated"))
@@ -143,6 +148,24 @@ SQL = {
     "lag_profile": """m AS (SELECT payee_id, ok, CASE WHEN pk % 11 - 1 BETWEEN 0 AND 3 THEN (pk % 11 - 1)::VARCHAR WHEN pk % 11 - 1 BETWEEN 4 AND 7 THEN '4-7' ELSE 'other' END AS level FROM gateway),
         k AS (SELECT payee_id, count(DISTINCT ok) AS settlements, count(*) AS total FROM m GROUP BY 1 HAVING count(DISTINCT ok) >= 3), l AS (SELECT unnest(['0', '1', '2', '3', '4-7', 'other']) AS level)
 ---SELECT payee_id, level, settlements, count(m.ok) AS n, round((count(m.ok) + 0.5::DOUBLE) / (any_value(total) + 3), 9) AS p FROM k CROSS JOIN l LEFT JOIN m USING (payee_id, level) GROUP BY payee_id, level, settlements""",
+    "lag_unit": """m AS (SELECT payee_id, ok, pk % 11 - 1 AS c, CASE WHEN payee_id < 'M5' THEN pk % 3 ELSE pk % 11 - 1 END AS w FROM gateway),
+        l AS (SELECT payee_id, ok, CASE WHEN c BETWEEN 0 AND 3 THEN c::VARCHAR WHEN c BETWEEN 4 AND 7 THEN '4-7' ELSE 'other' END AS c, CASE WHEN w BETWEEN 0 AND 3 THEN w::VARCHAR WHEN w BETWEEN 4 AND 7 THEN '4-7' ELSE 'other' END AS w FROM m),
+        h AS (SELECT payee_id, level, count(*) FILTER (c = level) AS c, count(*) FILTER (w = level) AS w, count(*) AS n FROM l, (SELECT unnest(['0', '1', '2', '3', '4-7', 'other']) AS level)
+              WHERE payee_id IN (SELECT payee_id FROM l GROUP BY 1 HAVING count(DISTINCT ok) >= 3) GROUP BY ALL),
+        p AS (SELECT payee_id, round((c + 0.5) / (n + 3), 9)::DOUBLE AS c, round((w + 0.5) / (n + 3), 9)::DOUBLE AS w FROM h)
+---SELECT payee_id, CASE WHEN round(-sum(w * ln(w)), 6) < round(-sum(c * ln(c)), 6) - 0.05 THEN 'working' ELSE 'calendar' END AS unit FROM p GROUP BY 1""",
+    "reviewer_drift": """b AS (SELECT CASE WHEN c >= 0.95 THEN 4 WHEN c >= 0.85 THEN 3 WHEN c >= 0.7 THEN 2 WHEN c >= 0.5 THEN 1 ELSE 0 END AS band, c, r FROM (SELECT (pk % 100 / 100)::DOUBLE AS c, (ok % 10 < 6)::INT AS r FROM gateway)),
+        e AS (SELECT band, count(*) AS n, round(avg(c), 6) AS stated, round(avg(r), 6) AS agreed FROM b GROUP BY 1)
+---SELECT * FROM e WHERE n >= 20 AND abs(stated - agreed) > 0.15""",
+    # the isotonic fit as the greatest least mean of the ranges around a point; points of equal fit are one block
+    "isotonic_map": """t AS (SELECT payee_id, (pk % 100 / 100)::DOUBLE AS x, sum((ok % 100 < pk % 100)::INT) AS r, count(*) AS n FROM gateway GROUP BY ALL),
+        q AS (SELECT *, row_number() OVER w AS i, sum(r) OVER w AS cr, sum(n) OVER w AS cn FROM t WINDOW w AS (PARTITION BY payee_id ORDER BY x)),
+        a AS (SELECT f.payee_id, f.i AS j, l.i AS k, (l.cr - f.cr + f.r)::DOUBLE / (l.cn - f.cn + f.n)::DOUBLE AS v FROM q f JOIN q l ON l.payee_id = f.payee_id AND l.i >= f.i),
+        low AS (SELECT q.payee_id, q.i, a.j, min(a.v) AS v FROM q JOIN a ON a.payee_id = q.payee_id AND q.i BETWEEN a.j AND a.k GROUP BY ALL),
+        fit AS (SELECT payee_id, i, max(v) AS v FROM low GROUP BY ALL),
+        b AS (SELECT payee_id, v, (sum(r) + 1)::DOUBLE / (sum(n) + 2)::DOUBLE AS s FROM fit JOIN q USING (payee_id, i) GROUP BY ALL),
+        y AS (SELECT payee_id, v, max(s) OVER (PARTITION BY payee_id ORDER BY v) AS y FROM b)
+---SELECT payee_id, x, y FROM q JOIN fit USING (payee_id, i) JOIN y USING (payee_id, v)""",
     "calibration_error": """b AS (SELECT CASE WHEN c >= 0.95 THEN 4 WHEN c >= 0.85 THEN 3 WHEN c >= 0.7 THEN 2 WHEN c >= 0.5 THEN 1 ELSE 0 END AS band, c, r FROM (SELECT (pk % 100 / 100)::DOUBLE AS c, (ok % 100 < pk % 100)::INT AS r FROM gateway)),
         a AS (SELECT band, count(*) AS n, avg(c) AS c, avg(r) AS r FROM b GROUP BY 1)
 ---SELECT round((sum(n * abs(c - r)) / sum(n))::DOUBLE, 6) AS ece FROM a""",
@@ -168,7 +191,7 @@ QUERIES = {
     "lag_unit": lag_unit,
     "calibration_error": lambda s, d: learning.expected_calibration_error(_pairs(s, d)),
     "calibrated_confidence": calibrated,
-    "reviewer_drift": lambda s, d: learning.reviewer_drift(_pairs(s, d)),
+    "reviewer_drift": lambda s, d: learning.reviewer_drift(_agreed(s, d)),
     "isotonic_map": lambda s, d: learning.isotonic(_pairs(s, d), "payee_id"),
     "audit_chain": lambda s, d: audit.sealed(_log(s, d)),
     "audit_verify": chain_verify,
