@@ -149,6 +149,15 @@ def tcs(payments: DataFrame, by: str) -> DataFrame:
     return payments.withColumn("due", due).filter("due IS NOT NULL").groupBy(by).agg(F.sum("due").alias("tcs_cents"))
 
 
+def tcs_findings(payments: DataFrame, by: str, tolerance: int = 100) -> DataFrame:
+    """Groups whose stated tax (tcs_cents) differs from that due on their net supplies, refunds included, by more than ``tolerance``.
+    A group that states none isn't judged."""
+    weight = F.col("amount_cents").cast("decimal(38,0)") * rate_on(ist_date(F.col("ts")), TCS)
+    due = F.greatest(F.bround(F.coalesce(F.sum(weight), F.lit(0)) / F.lit(10_000).cast("decimal(5,0)"), 0).cast("bigint"), F.lit(0).cast("bigint"))
+    each = payments.groupBy(by).agg(due.alias("expected_cents"), F.sum("tcs_cents").alias("actual_cents")).filter("actual_cents IS NOT NULL")
+    return each.withColumn("difference_cents", F.col("expected_cents") - F.col("actual_cents")).filter(F.abs("difference_cents") > tolerance)
+
+
 def itc(invoiced_gst: Column, deducted_gst: Column) -> Column:
     """Input tax credit: verdict and what may be claimed (the smaller of the two)."""
     verdict = F.when(F.abs(invoiced_gst - deducted_gst) <= 1, "matched").when(invoiced_gst > deducted_gst, "invoice_more").otherwise("invoice_less")

@@ -94,6 +94,11 @@ def report_summary(report: DataFrame) -> DataFrame:
     )
 
 
+def members_by_type(lines: DataFrame) -> DataFrame:
+    """Lines and value by settlement and type; with settlement null, of what hasn't been paid out yet."""
+    return lines.groupBy("settlement_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("value_cents"))
+
+
 def settlements_from_lines(lines: DataFrame) -> DataFrame:
     """Settlements derived from report lines: net sum, first transfer number, latest time."""
     return lines.groupBy("settlement_id").agg(F.sum("net_cents").alias("net_cents"), F.min("utr").alias("utr"), F.max("ts").alias("settled_at"))

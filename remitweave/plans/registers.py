@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from remitweave.functions import refs
-from remitweave.operators import charges, compliance, exceptions, fees, learning, review
+from remitweave.operators import charges, compliance, exceptions, fees, learning, rates, review, tie_out
 from remitweave.plans import compliance as screening
 from remitweave.plans import functions, ledgers
 from remitweave.plans import settlements as st
@@ -103,7 +103,44 @@ def report_payments(s, d):
     return lists.payments(lists.report_items(raw)).select("txn_id", "ref", "amount_cents", "ts", "memo", "status", "gross_cents", "fee_cents", "gst_cents", "method")
 
 
+def members_by_type(s, d):
+    g = bridge.gateway(s, d)
+    paid = F.when(F.col("pk") % 13 != 0, bridge.code("STL", "ok", 9))
+    return tie_out.members_by_type(g.select(paid.alias("settlement_id"), F.when(F.col("ln") == 7, "refund").otherwise("payment").alias("type"), "amount_cents"))
+
+
+def tcs_findings(s, d):
+    """Every third order states no tax; of the others, some state half a per cent and some one, each line by itself."""
+    g = bridge.gateway(s, d).withColumn("amount_cents", F.when(F.col("ln") == 7, -F.col("amount_cents")).otherwise(F.col("amount_cents")))
+    stated = F.when(F.col("ok") % 3 != 0, F.expr("amount_cents DIV (CASE WHEN pk % 4 = 0 THEN 200 ELSE 100 END)"))
+    return fees.tcs_findings(g.withColumn("ts", F.col("ts") + 840_000_000).withColumn("tcs_cents", stated), "ok")
+
+
+def _declared(s, d):
+    """Rates declared with each settlement: for dollars, and with every second one for dirhams."""
+    day = F.to_date(F.timestamp_seconds("settled_at"))
+    each = F.array(F.lit("USD"), F.when(F.col("ok") % 2 == 0, "AED"))
+    return st.Feeds(s, d).settlements.select("settlement_id", F.explode(each).alias("currency"), day.alias("day"), (F.lit(80) + F.col("ok") % 7).cast("double").alias("rate")).filter("currency IS NOT NULL")
+
+
+def undeclared_rates(s, d):
+    g = bridge.gateway(s, d).select(bridge.code("STL", "ok", 9).alias("settlement_id"), F.lit("INR").alias("home"), "currency", (F.col("ln") != 6).alias("currency_stated"))
+    return rates.undeclared(g, _declared(s, d))
+
+
+def rate_gaps(s, d):
+    """Against rates published every third day, for dollars only."""
+    said = _declared(s, d)
+    days = said.select("day").distinct().withColumn("k", F.unix_date("day")).filter("k % 3 = 0")
+    published = days.select(F.lit("USD").alias("currency"), "day", (F.lit(80) + F.col("k") % 5).cast("double").alias("rate"))
+    return rates.gaps(said, published).withColumn("gap", F.round("gap", 6))
+
+
 QUERIES = {
+    "members_by_type": members_by_type,
+    "tcs_findings": tcs_findings,
+    "undeclared_rates": undeclared_rates,
+    "rate_gaps": rate_gaps,
     "settlement_list": settlement_list,
     "report_payments": report_payments,
     "identity_notes": lambda s, d: lists.identity_notes(bridge.gateway(s, d), ["txn_id", "ref", "memo", "payee_id"], "ln"),
@@ -120,7 +157,17 @@ QUERIES = {
     "raw_references": raw_references,
     "aml_triage": lambda s, d: compliance.triage(screening.QUERIES["aml_disposition"](s, d)),
 }
+_DECLARED = """said AS (SELECT settlement_id, c AS currency, CAST(to_timestamp(settled_at) AT TIME ZONE 'UTC' AS DATE) AS day, (80 + ok % 7)::DOUBLE AS rate FROM settlement, (VALUES ('USD'), ('AED')) AS t(c) WHERE c = 'USD' OR ok % 2 = 0)"""
 SQL = {
+    "members_by_type": """SELECT CASE WHEN pk % 13 <> 0 THEN 'STL' || lpad(ok::VARCHAR, 9, '0') END AS settlement_id, CASE WHEN ln = 7 THEN 'refund' ELSE 'payment' END AS type, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS value_cents FROM gateway GROUP BY 1, 2""",
+    "tcs_findings": f"""p AS (SELECT ok, CASE WHEN ln = 7 THEN -amount_cents ELSE amount_cents END AS a, {functions._rate(functions._ist('ts + 840000000'), fees.TCS)} AS rate, CASE WHEN pk % 4 = 0 THEN 200 ELSE 100 END AS part FROM gateway WHERE ok % 3 <> 0),
+        e AS (SELECT ok, greatest(round_even(coalesce(sum(a * rate), 0) / 10000, 0)::BIGINT, 0) AS expected_cents, CAST(sum(trunc(a / part)) AS BIGINT) AS actual_cents FROM p GROUP BY 1)
+---SELECT *, expected_cents - actual_cents AS difference_cents FROM e WHERE abs(expected_cents - actual_cents) > 100""",
+    "undeclared_rates": _DECLARED + """
+---SELECT 'STL' || lpad(ok::VARCHAR, 9, '0') AS settlement_id, currency, count(*) AS n FROM gateway g WHERE currency <> 'INR' AND ln <> 6 AND NOT EXISTS (SELECT 1 FROM said d WHERE d.settlement_id = 'STL' || lpad(g.ok::VARCHAR, 9, '0') AND d.currency = g.currency) GROUP BY ALL""",
+    "rate_gaps": _DECLARED + """, pub AS (SELECT DISTINCT 'USD' AS currency, day, (80 + (day - DATE '1970-01-01') % 5)::DOUBLE AS rate FROM said WHERE (day - DATE '1970-01-01') % 3 = 0),
+        j AS (SELECT settlement_id, s.currency, s.rate, p.rate AS reference, (s.rate - p.rate) / p.rate AS gap FROM said s ASOF JOIN pub p ON s.currency = p.currency AND s.day >= p.day WHERE s.day - p.day <= 30)
+---SELECT * REPLACE (round(gap, 6) AS gap) FROM j WHERE abs(gap) > 0.03""",
     "settlement_list": """l AS (SELECT *, (net_cents // 100) || '.' || lpad((net_cents % 100)::VARCHAR, 2, '0') AS t, strftime(to_timestamp(settled_at + 19800) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM settlement WHERE ok % 7 <> 0 AND (ok % 29 = 0 OR ok % 31 <> 0))
 ---SELECT CASE WHEN ok % 3 <> 0 THEN utr ELSE 'CREDIT-' || day || '-' || CASE WHEN ok % 29 = 0 THEN 'see note' ELSE t END END AS settlement_id, ok % 3 = 0 AS derived, CASE WHEN ok % 29 <> 0 THEN net_cents END AS net_cents, day AS settled,
         ok % 29 <> 0 AS readable, 'day' AS day_order, true AS proven FROM l""",
