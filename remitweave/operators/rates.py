@@ -25,5 +25,7 @@ def gaps(declared: DataFrame, reference: DataFrame, *, stale: int = 30, most: fl
     until = F.least(F.date_sub(later, 1), F.date_add("day", stale))
     spans = reference.select("currency", "day", until.alias("until"), F.col("rate").alias("reference"))
     each = spans.select("currency", F.explode(F.sequence("day", "until")).alias("day"), "reference")
+    exact = lambda c: F.col(c).cast("decimal(18,8)")
+    far = F.abs(exact("rate") - exact("reference")) > F.lit(most).cast("decimal(9,6)") * F.abs(exact("reference"))
     gap = (F.col("rate") - F.col("reference")) / F.col("reference")
-    return declared.join(each.filter("reference <> 0"), ["currency", "day"]).withColumn("gap", gap).filter(F.abs("gap") > most).select("settlement_id", "currency", "rate", "reference", "gap")
+    return declared.join(each.filter("reference <> 0"), ["currency", "day"]).filter(far).select("settlement_id", "currency", "rate", "reference", gap.alias("gap"))
