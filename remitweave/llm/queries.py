@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitweave.llm import ann, binary_output, exact_dedup, language_id, mixing, packing, pii, quality, simhash, token_counts
+from remitweave.llm import ann, binary_output, exact_dedup, language_id, mixing, packing, pii, quality, secret_scan, simhash, token_counts, vector_codes, whitening
 from remitweave.llm.common import documents
 
 #: Target shares of the mixed corpus. ``mixing.OTHERS``: all sources not named.
@@ -101,6 +101,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return secret_scan.scan(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"),
+        *[secret_scan.count(spans, kind).alias(f"n_{kind}") for kind in secret_scan.BASE],
+        F.sha2(secret_scan.joined(spans, secret_scan.BASE), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"),
+        secret_scan.count(spans, "literal").alias("n_literal"),
+        F.array_join(F.transform(F.filter(spans, lambda s: s["kind"] == "literal"), lambda s: F.concat_ws(":", s["target"], F.round(s["score"], 2))), ",").alias("targets"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -112,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {"op2_mixing": OP2_SQL, "op7_exact_dedup": OP7_SQL}

@@ -1,0 +1,95 @@
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from remitweave.llm import queries, vector_codes
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id string, code int, x double"
+
+
+def brute(rows, entries=256, rounds=4):
+    """Python's own numbers, one row at a time. ``rows``: (id, vector, label) that take part."""
+    whole = [(i, [math.floor(1024 * float(c)) for c in v], label) for i, v, label in rows]
+    dim = len(whole[0][1])
+    cuts = [(p * dim // 4, (p + 1) * dim // 4) for p in range(4)]
+    first = sorted(whole, key=lambda r: (r[0] is None, r[0] or 0, r[1]))[:entries]
+    books = [[r[1][a:b] for r in first] for a, b in cuts]
+
+    def best(book, part):
+        return min((sum((x - y) ** 2 for x, y in zip(e, part)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p, (a, b) in enumerate(cuts):
+            of = {}
+            for _, v, _ in whole:
+                of.setdefault(best(books[p], v[a:b])[1], []).append(v[a:b])
+            books[p] = [[sum(c) // len(of[k]) for c in zip(*of[k])] if k in of else e for k, e in enumerate(books[p])]
+    digest = hashlib.sha256(",".join(str(c) for book in books for e in book for c in e).encode()).hexdigest()
+    out, labels = [], {}
+    for i, v, label in whole:
+        found = [best(books[p], v[a:b]) for p, (a, b) in enumerate(cuts)]
+        error = sum(f for f, _ in found)
+        labels[label] = labels.get(label, 0) + error
+        out.append((i, label, "".join(f"{k:02x}" for _, k in found), error))
+    return sorted(((i, label, c, e, labels[label], digest) for i, label, c, e in out), key=str)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "a", 1, 0.5) for r in rows], SCHEMA)
+
+
+def found(spark, rows, **options):
+    got = vector_codes.encode(frame(spark, rows).repartition(5), **options)
+    return sorted(((r.id, r.label, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got.collect()), key=str)
+
+
+def vectors(n, dim, seed, scale=0.2):
+    return np.random.default_rng(seed).normal(0, scale, (n, dim)).astype(np.float32)
+
+
+def test_codes_match_plain_version(spark):
+    v = vectors(150, 10, 3)
+    good = [(k, v[k].tolist(), k % 3 if k % 4 else None) for k in range(150)]
+    good += [(400 + k, v[7].tolist(), 1) for k in range(200)]  # a hot vector
+    good += [(7, v[7].tolist(), 1), (None, v[8].tolist(), None), (3, v[9].tolist(), 2)]
+    bad = [(900, None, 1), (901, [float("nan")] * 10, 1), (902, [float("inf")] + [0.0] * 9, 1), (903, [None] * 10, 1), (904, [], 1), (905, [1.0, 2.0], 1), (1, [1e30] * 10, 1)]
+    assert found(spark, good + bad, entries=16) == brute(good, 16)
+
+
+def test_fewer_rows_than_entries_and_ties(spark):
+    rows = [(k, [float(k % 3), 0.0, 1.0, -1.0], None) for k in range(40)]
+    assert found(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("scale", [1e4, 1e9])
+def test_large_numbers_stay_exact(spark, scale):
+    v = vectors(40, 8, 4, scale)
+    rows = [(k, v[k].tolist(), 0) for k in range(40)]
+    want = brute(rows, 4)
+    fits = want[0][4] < 1 << 63
+    want = [(i, label, c, e if e < 1 << 63 else None, total if fits else None, d) for i, label, c, e, total, d in want]
+    assert found(spark, rows, entries=4) == sorted(want, key=str)
+
+
+def test_widths():
+    assert vector_codes.width(600, 64) is np.int32 and vector_codes.width(10**6, 64) is np.int64 and vector_codes.width(1 << 40, 64) is object
+
+
+def test_many_labels_join_by_shares(spark, monkeypatch):
+    monkeypatch.setattr(vector_codes, "FEW_LABELS", 1)
+    v = vectors(60, 8, 6)
+    rows = [(k, v[k].tolist(), k % 5 or None) for k in range(60)]
+    assert found(spark, rows, entries=8) == brute(rows, 8)
+
+
+def test_empty(spark):
+    assert found(spark, []) == [] and found(spark, [(1, None, 1), (2, [float("nan")], 2)]) == []
+
+
+def test_query(spark):
+    got = queries.op12_vector_codes(spark, "/root/testdata/sf0.001").collect()
+    raw = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    want = brute([(r.vec_id, r.embedding, r.label) for r in raw])
+    assert sorted((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got) == sorted((i, c, e, t, d) for i, _, c, e, t, d in want)

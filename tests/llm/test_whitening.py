@@ -1,0 +1,115 @@
+import math
+
+import numpy as np
+import pytest
+
+from remitweave.llm import queries, whitening
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id string, component int, n double"
+
+
+def brute(rows):
+    """Dense covariance of the distinct whole vectors, Python's own numbers up to the decomposition."""
+    x = [(i, [math.floor(64 * float(c)) + 1_000_000 for c in v]) for i, v in rows]
+    fit = sorted({tuple(v) for _, v in x})
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    y = np.array([[n * a - s for a, s in zip(v, sums)] for v in fit], float) / n
+    values, vectors = np.linalg.eigh(y.T @ y / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    trace = sum((n * a - s) ** 2 for v in fit for a, s in zip(v, sums)) / n**3
+    k = min(16, int((values > 1e-12 * values[0]).sum()))
+    return {
+        "n": n,
+        "deviation": sorted((i, sum((n * a - s) ** 2 for a, s in zip(v, sums))) for i, v in x),
+        "whitened": np.array([[(n * a - s) / n for a, s in zip(v, sums)] for _, v in sorted(x)]) @ vectors[:, :k] / np.sqrt(values[:k]),
+        "explained": values[:k] / trace,
+    }
+
+
+def agree(got, rows):
+    want = brute(rows)
+    k = want["whitened"].shape[1]
+    assert len(got) == len(rows) * k and {r.n for r in got} == {want["n"]}
+    assert sorted((r.id, r.deviation) for r in got if r.component == 1) == want["deviation"]
+    first = {r.component: r.explained for r in got}
+    np.testing.assert_allclose([first[c] for c in range(1, k + 1)], want["explained"], rtol=1e-9)
+    assert {r.identity_error for r in got} == {got[0].identity_error} and got[0].identity_error <= 1e-6
+    table = np.array(sorted((r.id, r.component, r.whitened) for r in got))[:, 2].reshape(len(rows), k)
+    signs = np.sign((table * want["whitened"]).sum(0))
+    np.testing.assert_allclose(table, want["whitened"] * signs, atol=1e-6)
+
+
+def run(spark, rows):
+    frame = spark.createDataFrame([(*r, 1, "a", 2, 0.5) for r in rows], SCHEMA)
+    return whitening.whiten(frame.repartition(4)).collect()
+
+
+def vectors(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    return (rng.normal(0, 3, (n, dim)) * np.linspace(1, 4, dim) + rng.normal(0, 9, dim)).astype(np.float32)
+
+
+def test_matches_dense_version(spark):
+    v = vectors(300, 24, 1)
+    good = [(k, v[k].tolist()) for k in range(300)] + [(1000 + k, v[5].tolist()) for k in range(150)]
+    bad = [(2000, None), (2001, [float("nan")] * 24), (2002, [None] * 24), (2003, [float("-inf")] * 24), (2004, []), (2005, [1.0]), (2006, [1e30] * 24)]
+    agree(run(spark, good + bad), good)
+
+
+def test_fewer_distinct_vectors_than_components(spark):
+    v = vectors(6, 20, 2)
+    rows = [(k, v[k % 6].tolist()) for k in range(30)]
+    got = run(spark, rows)
+    assert {r.component for r in got} == {1, 2, 3, 4, 5}
+    agree(got, rows)
+
+
+def test_constant_dimensions_and_few_dimensions(spark):
+    v = vectors(50, 5, 3)
+    v[:, 2] = 7.0
+    rows = [(k, v[k].tolist()) for k in range(50)]
+    got = run(spark, rows)
+    assert {r.component for r in got} == {1, 2, 3, 4}
+    agree(got, rows)
+
+
+def test_nothing_to_whiten(spark):
+    assert run(spark, []) == [] and run(spark, [(1, None)]) == [] and run(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])]) == []
+
+
+@pytest.mark.parametrize("dim,rank", [(200, 200), (200, 30), (150, 3), (40, 40), (1, 1)])
+def test_block_lanczos(dim, rank):
+    rng = np.random.default_rng(dim + rank)
+    a = rng.normal(size=(dim, rank)) * np.linspace(1, 5, rank) ** 2
+    v = a @ a.T
+    passes = []
+
+    def times(block):
+        passes.append(block.shape[1])
+        return v @ block
+
+    values, found = whitening.lanczos(times, dim, min(16, dim))
+    want = np.linalg.eigvalsh(v)[::-1][: min(16, dim)]
+    np.testing.assert_allclose(values, want, atol=1e-11 * want[0])
+    np.testing.assert_allclose(found.T @ found, np.eye(len(values)), atol=1e-12)
+    assert np.linalg.norm(v @ found - found * values, axis=0).max() <= 1e-11 * want[0] and sum(passes) <= dim
+
+
+def test_restart_when_the_first_block_breaks_down():
+    basis = np.eye(6)[:, :2]
+    block = whitening.new_block(basis, np.array([[1.0, 2.0], [1.0, 0.0], *[[0.0, 0.0]] * 4]), np.random.default_rng(0))
+    both = np.hstack([basis, block])
+    np.testing.assert_allclose(both.T @ both, np.eye(4), atol=1e-14)
+
+
+def test_deviations_are_exact():
+    x = np.array([[10**6, 1 << 60], [10**6 + 3, -(1 << 60)], [5, 17]])
+    sums = [int(s) for s in x.astype(object).sum(0)]
+    got = whitening.squares(whitening.deviations(x, 3, sums))
+    assert got == [sum((3 * int(a) - s) ** 2 for a, s in zip(row, sums)) for row in x]
+
+
+def test_query(spark):
+    got = queries.op11_whitening(spark, "/root/testdata/sf0.001").withColumnRenamed("vec_id", "id").collect()
+    raw = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    agree(got, [(r.vec_id, r.embedding) for r in raw])
