@@ -23,15 +23,18 @@ METHOD_ALIASES = {
 
 
 def bps(amount: Column, rate: Column | int) -> Column:
-    """Half to even, in decimals; beyond 64 bits null."""
-    return F.bround(amount.cast("decimal(28,0)") * (rate if isinstance(rate, Column) else F.lit(rate)).cast("decimal(5,0)") / F.lit(10000).cast("decimal(5,0)"), 0).try_cast("bigint")
+    """Half to even, in whole numbers, or in decimals where the product exceeds 64 bits; a result beyond them is null."""
+    by = rate if isinstance(rate, Column) else F.lit(rate)
+    product = F.try_multiply(amount.cast("bigint"), by.cast("bigint"))
+    quick = F.call_function("div", F.bround(F.when(F.abs(product) < (1 << 62), product), -4), F.lit(10000).cast("bigint"))
+    return F.coalesce(quick, F.bround(amount.cast("decimal(28,0)") * by.cast("decimal(5,0)") / F.lit(10000).cast("decimal(5,0)"), 0).try_cast("bigint"))
 
 
 def normal_method(raw: Column) -> Column:
-    out = F.lower(F.regexp_replace(F.trim(raw), r"[\s-]+", "_"))
-    for alias, name in METHOD_ALIASES.items():
-        out = F.when(out == alias, name).otherwise(out)
-    return out
+    """The usual name of a method: one lookup, so that the expression holds ``raw`` twice, whatever the number of names."""
+    plain = F.lower(F.regexp_replace(F.trim(raw), r"[\s-]+", "_"))
+    names = F.create_map(*[F.lit(x) for pair in METHOD_ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, plain), plain)
 
 
 def expected_fee(amount: Column, method: Column) -> Column:
@@ -153,7 +156,7 @@ def tcs_findings(payments: DataFrame, by: str, tolerance: int = 100) -> DataFram
     """Groups whose stated tax (tcs_cents) differs from that due on their net supplies, refunds included, by more than ``tolerance``.
     A group that states none isn't judged."""
     weight = F.col("amount_cents").cast("decimal(38,0)") * rate_on(ist_date(F.col("ts")), TCS)
-    due = F.greatest(F.bround(F.coalesce(F.sum(weight), F.lit(0)) / F.lit(10_000).cast("decimal(5,0)"), 0).cast("bigint"), F.lit(0).cast("bigint"))
+    due = F.greatest(F.bround(F.coalesce(F.sum(weight), F.lit(0)) / F.lit(10_000).cast("decimal(5,0)"), 0).try_cast("bigint"), F.lit(0).cast("bigint"))
     each = payments.groupBy(by).agg(due.alias("expected_cents"), F.sum("tcs_cents").alias("actual_cents")).filter("actual_cents IS NOT NULL")
     return each.withColumn("difference_cents", F.col("expected_cents") - F.col("actual_cents")).filter(F.abs("difference_cents") > tolerance)
 
