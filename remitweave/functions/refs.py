@@ -57,7 +57,8 @@ def date_like(token: Column) -> Column:
 def description_tokens(text: Column, amount_cents: Column) -> Column:
     """Digit runs of at least four in a memo, without dates and the payment's own amount."""
     runs = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda t: F.length(t) >= MIN_TOKEN))
-    own = F.array(amount_cents.cast("string"), F.floor(amount_cents / 100).cast("string"))
+    size = F.abs(amount_cents).cast("bigint")
+    own = F.array(size.cast("string"), F.call_function("div", size, F.lit(100).cast("bigint")).cast("string"))
     return F.filter(runs, lambda t: ~date_like(t) & ~F.array_contains(own, t))
 
 

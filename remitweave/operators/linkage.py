@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from remitweave.functions import refs
 
 #: Weights of the signals, the penalty outside the window, lengths and bounds.
-WEIGHTS = {"anchor": 0.55, "cluster": 0.25, "amount": 0.15, "window": 0.10}
+WEIGHTS = {"anchor": 0.55, "cluster": 0.25, "named": 0.15, "amount": 0.10}
 PENALTY = 0.30
 MIN_TOKEN, MIN_ANCHOR, MAX_CANDIDATES, CLUSTER_CAP = 4, 6, 400, 60
 BAND_BASE = {"fully_anchored": 0.95, "anchors_all_used": 0.88, "named_complete": 0.88, "learned_cycle": 0.80}
@@ -38,26 +38,39 @@ def pools(settlements: DataFrame, payments: DataFrame, group: str, days: int = 5
     return left.join(right, (F.col(group) == F.col("_g")) & (F.col("_slot") == F.col("_s")) & in_window(F.col("ts"), F.col("settled_at"), days)).drop("_g", "_s", "_slot")
 
 
-def signals(pool: DataFrame) -> DataFrame:
-    """anchor, cluster, amount and window signals of each candidate (settlement_id, txn_key, source, ref, memo, amount_cents, ts, settled_at).
+def signals(pool: DataFrame, numbers: bool = True) -> DataFrame:
+    """anchor, cluster, named, amount and window signals of each candidate (settlement_id, txn_key, source, ref, memo, amount_cents, ts, settled_at).
 
     A cluster is a token that between 2 and max(2, min(60, n / 8)) candidates of the pool share; longer lists are
-    boilerplate. They are counted, never paired.
+    boilerplate. They are counted, never paired. With ``numbers``, identifier tokens take part: one of the settlement's own in a reference anchors, numbers
+    of descriptions cluster, and a candidate whose cluster is one of the settlement's tokens is *named*. All windows and the last aggregate
+    are by settlement, so that a pool is shuffled once.
     """
     per_pool = Window.partitionBy("settlement_id")
     by_amount = Window.partitionBy("settlement_id", "amount_cents")
-    rows = pool.withColumn("n_pool", F.count(F.lit(1)).over(per_pool)).withColumn("tokens", refs.tokens(F.col("ref")))
-    exploded = rows.select("settlement_id", "txn_key", "n_pool", F.explode("tokens").alias("token"))
-    shared = exploded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("settlement_id", "token")))
+    tokens = refs.tokens(F.col("ref"))
+    if numbers:
+        tokens = F.array_union(tokens, refs.description_tokens(F.col("memo"), F.col("amount_cents")))
+    own = F.filter(refs.tokens(F.col("settlement_id")), refs.is_identifier) if numbers else F.array().cast("array<string>")
+    carried = [c for c in pool.columns if c not in ("settlement_id", "txn_key")]
+    rows = (
+        pool.withColumn("n_pool", F.count(F.lit(1)).over(per_pool))
+        .withColumn("amount", F.min("source").over(by_amount) != F.max("source").over(by_amount))
+        .withColumn("_row", F.monotonically_increasing_id())  # a key that stands twice is two rows
+        .withColumn("_token", F.explode_outer(tokens))
+        .withColumn("_shared", F.count("_token").over(Window.partitionBy("settlement_id", "_token")))
+    )
     bound = F.greatest(F.lit(2), F.least(F.lit(CLUSTER_CAP), F.floor(F.col("n_pool") / 8)))
-    clustered = shared.filter((F.col("n") >= 2) & (F.col("n") <= bound)).select("settlement_id", "txn_key", F.lit(True).alias("cluster")).distinct()
-    return (
-        rows.join(clustered, ["settlement_id", "txn_key"], "left")
-        .withColumn("cluster", F.coalesce("cluster", F.lit(False)))
-        .withColumn("anchor", refs.names(F.col("settlement_id"), F.col("ref"), F.col("memo")))
-        .withColumn("amount", F.size(F.collect_set("source").over(by_amount)) > 1)
-        .withColumn("window", F.abs(F.col("settled_at") - F.col("ts")) <= 5 * 86400)
+    clustered = F.coalesce((F.col("_shared") >= 2) & (F.col("_shared") <= bound), F.lit(False))
+    each = rows.groupBy("settlement_id", "txn_key", "_row").agg(
+        *[F.first(c).alias(c) for c in (*carried, "n_pool", "amount")],
+        F.bool_or(clustered).alias("cluster"),
+        F.bool_or(clustered & F.coalesce(F.array_contains(own, F.col("_token")), F.lit(False))).alias("named"),
     )
+    anchor = refs.names(F.col("settlement_id"), F.col("ref"), F.col("memo"))
+    if numbers:
+        anchor = anchor | F.coalesce(F.arrays_overlap(refs.tokens(F.col("ref")), own), F.lit(False))
+    return each.drop("_row").withColumn("anchor", anchor).withColumn("window", F.abs(F.col("settled_at") - F.col("ts")) <= 5 * 86400)
 
 
 def score(rows: DataFrame) -> DataFrame:
@@ -66,20 +79,25 @@ def score(rows: DataFrame) -> DataFrame:
 
 
 def capped(rows: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
-    """All anchored candidates and the best of the others, ``most`` together. ``truncated``: others were left out, so that the solver
-    must not call a set of this pool the only one."""
-    order = Window.partitionBy("settlement_id").orderBy(F.desc("anchor"), F.desc("score"), "txn_key")
+    """All anchored candidates and the best of the others, ``most`` together; equal scores in order of the learned posterior, if there is one.
+    ``truncated``: others were left out, so that the solver must not call a set of this pool the only one."""
+    ties = [F.desc("posterior")] if "posterior" in rows.columns else []
+    order = Window.partitionBy("settlement_id").orderBy(F.desc("anchor"), F.desc("score"), *ties, "txn_key")
     placed = rows.withColumn("place", F.row_number().over(order)).withColumn("truncated", F.col("n_pool") > F.greatest(F.lit(most), F.count_if("anchor").over(Window.partitionBy("settlement_id"))))
     return placed.filter(F.col("anchor") | (F.col("place") <= most))
 
 
 def member_feed(rows: DataFrame) -> DataFrame:
     """Members come from one feed: the one that the settlement declares (``declared_feed``, if there is such a column), else the only one that
-    its anchored candidates come from. Others go unless anchored."""
-    feeds = rows.filter("anchor").groupBy("settlement_id").agg(F.countDistinct("source").alias("_n"), F.min("source").alias("feed"))
-    one = feeds.filter("_n = 1").select("settlement_id", "feed")
-    feed = F.coalesce("declared_feed", "feed") if "declared_feed" in rows.columns else F.col("feed")
-    return rows.join(one, "settlement_id", "left").withColumn("feed", feed).filter(F.col("feed").isNull() | (F.col("source") == F.col("feed")) | F.col("anchor"))
+    its anchored candidates come from, else, without any of these, the only one of its named ones. Others go unless anchored; where it is declared, they go in any case."""
+    one = lambda flag, feed: F.when(F.min(F.when(F.col(flag), F.col("source"))) == F.max(F.when(F.col(flag), F.col("source"))), F.min(F.when(F.col(flag), F.col("source")))).alias(feed)
+    named = "named" if "named" in rows.columns else "anchor"
+    feeds = rows.groupBy("settlement_id").agg(one("anchor", "_a"), one(named, "_n"), F.bool_or("anchor").alias("_any"))
+    inferred = feeds.select("settlement_id", F.coalesce("_a", F.when(~F.col("_any"), F.col("_n"))).alias("_feed"))
+    declared = F.col("declared_feed") if "declared_feed" in rows.columns else F.lit(None).cast("string")
+    joined = rows.join(inferred, "settlement_id", "left").withColumn("feed", F.coalesce(declared, F.col("_feed"))).drop("_feed")
+    kept = F.col("feed").isNull() | (F.col("source") == F.col("feed")) | (F.col("anchor") & declared.isNull())
+    return joined.filter(kept)
 
 
 def band(n_anchored: Column, n_matched: Column, n_matched_anchored: Column, n_named: Column, n_matched_named: Column, n_learned_matched: Column, n_learned: Column, mean_link: Column) -> Column:
@@ -127,32 +145,48 @@ def anchored_verdicts(settlements: DataFrame, rows: DataFrame, tolerance: int =
 
 
 def verdicts(rows: DataFrame, found: DataFrame, window: DataFrame | None = None) -> DataFrame:
-    """What may clear: a solver's result (``subset_sum.match``) for the candidates ``rows`` (settlement_id, txn_key, anchor, score), banded by how its
-    members stand to the anchored ones, and gated. Members are looked up by key; no settlement's candidates are gathered. With ``window``, the
-    whole pools, sets with a substitutable member are withheld (``substituted``)."""
-    sizes = rows.groupBy("settlement_id").agg(F.count(F.lit(1)).alias("n_pool"), F.count_if("anchor").alias("n_anchored"))
+    """What may clear: a solver's result (``subset_sum.match``) for the candidates ``rows`` (settlement_id, txn_key, anchor, score; if known, named and learned), banded by
+    how its members stand to the anchored, named and learned ones, and gated. The named ones are those of the ``window``, if it is given. Members are looked up by key; no settlement's candidates are gathered. With ``window``, the
+    whole pools, sets with a substitutable member are withheld (``substituted``); with the candidates' source, ref and amount_cents, also sets that count a payment in two feeds."""
+    for flag in {"named", "learned"} - set(rows.columns):
+        rows = rows.withColumn(flag, F.lit(False))
+    sizes = rows.groupBy("settlement_id").agg(F.count(F.lit(1)).alias("n_pool"), F.count_if("anchor").alias("n_anchored"), F.count_if("learned").alias("n_learned"))
+    all_named = (window if window is not None and "named" in window.columns else rows).groupBy("settlement_id").agg(F.count_if("named").alias("n_named"))
     members = found.filter("n_members > 0").select("settlement_id", F.explode(F.split("members", ",")).alias("txn_key"))
-    stand = members.join(rows.select("settlement_id", "txn_key", "anchor", "score").dropDuplicates(["settlement_id", "txn_key"]), ["settlement_id", "txn_key"]).groupBy("settlement_id").agg(
-        F.count_if("anchor").alias("n_matched_anchored"), F.avg("score").alias("mean_link")
+    flags = ["settlement_id", "txn_key", "anchor", "named", "learned", "score"]
+    stand = members.join(rows.select(*flags).dropDuplicates(["settlement_id", "txn_key"]), ["settlement_id", "txn_key"]).groupBy("settlement_id").agg(
+        *[F.count_if(f).alias(f"n_matched_{f}") for f in ("anchor", "named", "learned")], F.avg("score").alias("mean_link")
     )
     twins = substituted(members, rows, window) if window is not None else members.select("settlement_id").limit(0)
-    none = F.lit(0)
-    how = band(F.col("n_anchored"), F.col("n_members"), F.coalesce("n_matched_anchored", none), none, none, none, none, F.coalesce("mean_link", F.lit(0.0)))
+    doubled = counted_twice(members, rows) if {"source", "ref", "amount_cents"} <= set(rows.columns) else members.select("settlement_id").limit(0)
+    n = lambda c: F.coalesce(c, F.lit(0))
+    how = band(
+        F.col("n_anchored"), F.col("n_members"), n("n_matched_anchor"), n("n_named"), n("n_matched_named"), n("n_matched_learned"), F.col("n_learned"), F.coalesce("mean_link", F.lit(0.0))
+    )
     unique = F.col("outcome") == "unique"
-    reason = F.when(F.col("cleared"), None).when(~unique, F.col("outcome")).when(F.col("twin"), "substitutable").when(F.col("structural") == 0, "no_corroborating_evidence").otherwise("below_confidence_gate")
+    reason = F.when(F.col("cleared"), None).when(~unique, F.col("outcome")).when(F.col("doubled"), "counted_twice").when(F.col("twin"), "substitutable").when(F.col("structural") == 0, "no_corroborating_evidence").otherwise("below_confidence_gate")
     return (
         found.join(sizes, "settlement_id")
+        .join(all_named, "settlement_id", "left")
         .join(stand, "settlement_id", "left")
         .join(twins.withColumn("twin", F.lit(True)), "settlement_id", "left")
+        .join(doubled.withColumn("doubled", F.lit(True)), "settlement_id", "left")
         .withColumn("band", F.when(unique, how).otherwise("arithmetic_only"))
         .withColumn("structural", confidence(F.col("band"), F.col("n_pool")))
         .withColumn("confidence", F.round(F.least("confidence", "structural"), 3))
-        .withColumn("cleared", unique & (F.col("confidence") >= GATE) & F.col("twin").isNull())
+        .withColumn("cleared", unique & (F.col("confidence") >= GATE) & F.col("twin").isNull() & F.col("doubled").isNull())
         .withColumn("withheld_reason", reason)
         .select("settlement_id", "n_pool", "n_anchored", "tier", "outcome", "n_members", "members", "residual_cents", "band", "confidence", "cleared", "withheld_reason")
     )
 
 
+def counted_twice(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Settlements whose set holds one reference and amount from two feeds: a payment and its copy in the books."""
+    known = rows.select("settlement_id", "txn_key", "source", "ref", "amount_cents").filter("ref <> ''")
+    feeds = members.join(known, ["settlement_id", "txn_key"]).groupBy("settlement_id", "ref", "amount_cents").agg((F.min("source") != F.max("source")).alias("both"))
+    return feeds.filter("both").select("settlement_id").distinct()
+
+
 def unreferenced(members: DataFrame) -> DataFrame:
     """Matched candidates that are not anchored and share no token with an anchored one of their settlement."""
     tokens = members.select("settlement_id", "txn_key", "anchor", F.explode_outer(refs.tokens(F.col("ref"))).alias("token"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitweave.operators import linkage, review, subset_sum
-from remitweave.plans.settlements import SIGNALS_OF
+from remitweave.functions import times
+from remitweave.operators import cases, joint, learning_queue, linkage, membership, review, subset_sum
 from remitweave.sources import merchants
 from remitweave.sources.shared import written
 
-TARGET = ["settlement_id", "txn_key", "amount_cents", "anchor", "score", "target_cents", "truncated"]
+TARGET = ["settlement_id", "txn_key", "amount_cents", "anchor", "named", "learned", "score", "target_cents", "truncated"]
 
 
 class Feeds:
@@ -23,21 +23,70 @@ class Feeds:
 
 
 def signals(f: Feeds) -> DataFrame:
-    return linkage.score(linkage.signals(linkage.pools(f.settlements, f.both, "sk")))
+    rows = linkage.score(linkage.signals(linkage.pools(f.settlements, f.both, "sk")))
+    return rows.withColumn("target_cents", F.col("net_cents") + F.col("declared_deductions"))
 
 
 def candidates(window: DataFrame) -> DataFrame:
     """What each payout is solved from: its pool without payments that name another payout, of its member feed, best candidates first."""
     free = review.without_siblings(window, window.filter("anchor"))
-    return linkage.capped(linkage.member_feed(free)).withColumn("target_cents", F.col("net_cents") + F.col("declared_deductions"))
+    return linkage.capped(linkage.member_feed(free))
+
+
+def rated(f: Feeds) -> DataFrame:
+    """The whole pools with their signals, posteriors and learned cohorts."""
+    return written(membership.rated(written(signals(f))))
 
 
 def _solved(f: Feeds) -> DataFrame:
-    window = written(signals(f))
-    pool = written(candidates(window).select(*TARGET, "source", "feed"))
+    window = rated(f)
+    pool = written(candidates(window).select(*TARGET, "source", "ref", "feed"))
     return linkage.verdicts(pool, written(subset_sum.match(pool.select(*TARGET), confirm=True)), window)
 
 
+def queued(s, d):
+    """The payouts of all merchants as queues in order of time: clears take payments and teach the merchant's payout cycle to those after them."""
+    f = Feeds(s, d)
+    rows = written(signals(f))
+    days = times.calendar(s, "1991-12-01", "1994-12-31")
+
+    def solve(cycles: DataFrame | None, only: DataFrame | None) -> DataFrame:
+        some = rows if only is None else rows.join(only, "settlement_id", "left_semi")
+        window = written(membership.rated(some, cycles, days))
+        # what a payment names is known from all pools
+        free = review.without_siblings(window, rows.filter("anchor"))
+        pool = written(linkage.capped(linkage.member_feed(free)).select(*TARGET, "source", "ref", "feed"))
+        return linkage.verdicts(pool, written(subset_sum.match(pool.select(*TARGET), confirm=True)), window)
+
+    settled = f.settlements.select("settlement_id", "settled_at", "sk")
+    return learning_queue.run(settled, rows.select("settlement_id", "txn_key", "ts"), days, ["sk"], solve)
+
+
+def jointly(s, d):
+    """Neighbouring payouts solved together: a payment that two could claim goes to one of them."""
+    window = rated(Feeds(s, d))
+    pool = written(candidates(window).select(*TARGET, "source", "ref", "feed", "settled_at"))
+    found = written(joint.assign(pool))
+    solved = linkage.verdicts(pool, found, window).select("settlement_id", "tier", "outcome", "n_members", "members", "residual_cents", "band", "confidence", "cleared", "withheld_reason")
+    return solved.join(found.select("settlement_id", "n_alternatives", "component", "n_component"), "settlement_id")
+
+
+def investigated(s, d):
+    """What to propose for payouts that didn't clear, checked against every rival in their pools."""
+    window = rated(Feeds(s, d))
+    pool = written(candidates(window).select(*TARGET, "source", "ref", "feed"))
+    found = written(linkage.verdicts(pool, written(subset_sum.match(pool.select(*TARGET), confirm=True)), window))
+    taken = found.filter("cleared").select(F.explode(F.split("members", ",")).alias("txn_key"), F.col("settlement_id").alias("owner"))
+    free = review.without_siblings(window, window.filter("anchor"))
+    return cases.build(written(free.select("settlement_id", "txn_key", "source", "ref", "amount_cents", "anchor", "target_cents", "declared_feed")), found, taken)
+
+
+def evidence(s, d):
+    """What moves each payout's model of membership most."""
+    rows = membership.compared(written(signals(Feeds(s, d))))
+    return membership.models(written(rows)).select("settlement_id", "share", F.posexplode("evidence").alias("place", "e")).select("settlement_id", F.round("share", 9).alias("share"), "place", "e.*")
+
+
 def verdicts(s, d):
     return _solved(Feeds(s, d))
 
@@ -59,30 +108,48 @@ def blind(s, d):
     f = Feeds(s, d)
     bare = f.payments.withColumn("ref", F.lit("")).withColumn("memo", F.lit(""))
     rows = linkage.capped(linkage.score(linkage.signals(linkage.pools(f.settlements, bare, "sk"))))
-    pool = written(rows.withColumn("target_cents", F.col("net_cents") + F.col("declared_deductions")).select(*TARGET))
+    pool = written(rows.withColumn("target_cents", F.col("net_cents") + F.col("declared_deductions")).withColumn("learned", F.lit(False)).select(*TARGET))
     found = written(subset_sum.match(pool)).filter("n_members > 0").select("settlement_id", F.explode(F.split("members", ",")).alias("txn_key"))
     return review.blind_check(f.truth.join(found.select("settlement_id").distinct(), "settlement_id", "left_semi"), found)
 
 
 QUERIES = {
-    "merchant_signals": lambda s, d: signals(Feeds(s, d)).select("settlement_id", "txn_key", "n_pool", "anchor", "cluster", "amount", "window", "score"),
+    "merchant_signals": lambda s, d: signals(Feeds(s, d)).select("settlement_id", "txn_key", "n_pool", "anchor", "cluster", "named", "amount", "window", "score"),
     "merchant_member_feed": lambda s, d: linkage.member_feed(signals(Feeds(s, d))).select("settlement_id", "txn_key"),
     "merchant_without_siblings": lambda s, d: (lambda rows: review.without_siblings(rows, rows.filter("anchor")).select("settlement_id", "txn_key"))(written(signals(Feeds(s, d)))),
     "merchant_unreferenced": lambda s, d: linkage.unreferenced(signals(Feeds(s, d))),
+    "merchant_posteriors": lambda s, d: rated(Feeds(s, d)).select("settlement_id", "txn_key", "posterior", "learned"),
+    "merchant_evidence": evidence,
     "merchant_verdicts": verdicts,
+    "merchant_joint": jointly,
+    "merchant_queue": queued,
+    "merchant_cases": investigated,
     "merchant_scores": scores,
     "merchant_blind_check": blind,
 }
 _POOLS = f"""WITH {merchants.VIEWS.strip()},
 pool AS (SELECT s.*, source || ':' || txn_id AS txn_key, source, ref, memo, b.amount_cents, b.ts FROM mset s JOIN mboth b ON s.sk = b.sk AND b.ts BETWEEN settled_at - 432000 AND settled_at),
-{SIGNALS_OF.rstrip().removesuffix("---").rstrip()}"""
+sized AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY settlement_id) AS n_pool, list_filter(regexp_extract_all(settlement_id, '[0-9]+'), lambda t: len(t) >= 4) AS own,
+          list_distinct(list_filter(regexp_extract_all(upper(ref), '[A-Z]+|[0-9]+'), lambda t: len(t) >= 4)) AS ref_tokens,
+          list_filter(regexp_extract_all(memo, '[0-9]+'), lambda t: len(t) >= 4 AND NOT regexp_matches(t, '^(19|20)[0-9]{{2}}$') AND NOT (len(t) = 8 AND coalesce(try_strptime(t, '%Y%m%d'), try_strptime(t, '%d%m%Y')) IS NOT NULL)
+                      AND t <> abs(amount_cents)::VARCHAR AND t <> (abs(amount_cents) // 100)::VARCHAR) AS memo_tokens,
+          string_split(upper(regexp_replace(memo, '[^A-Za-z0-9]', '', 'g')), settlement_id) AS parts FROM pool),
+tok AS MATERIALIZED (SELECT settlement_id, txn_key, n_pool, own, unnest(list_distinct(list_concat(ref_tokens, memo_tokens))) AS token FROM sized),
+clu AS MATERIALIZED (SELECT settlement_id, txn_key, bool_or(list_contains(own, token)) AS named FROM tok JOIN (SELECT settlement_id, token, count(*) AS n FROM tok GROUP BY ALL) USING (settlement_id, token)
+        WHERE n BETWEEN 2 AND greatest(2, least(60, n_pool // 8)) GROUP BY ALL),
+peers AS MATERIALIZED (SELECT settlement_id, amount_cents, count(DISTINCT source) > 1 AS amount FROM sized GROUP BY ALL),
+sig AS MATERIALIZED (SELECT z.*, c.txn_key IS NOT NULL AS cluster, coalesce(c.named, false) AS named, list_has_any(ref_tokens, own) OR len(list_filter(parts[2:], lambda t: NOT regexp_matches(t, '^[0-9]'))) > 0 AS anchor,
+               amount, abs(settled_at - ts) <= 432000 AS "window" FROM sized z LEFT JOIN clu c USING (settlement_id, txn_key) JOIN peers USING (settlement_id, amount_cents)),
+scored AS (SELECT *, round(greatest(0, least(1, anchor::INT * 0.55 + cluster::INT * 0.25 + named::INT * 0.15 + amount::INT * 0.10 - (1 - "window"::INT) * 0.30)), 4)::DOUBLE AS score FROM sig)"""
 ORACLES = {
-    "merchant_signals": f'{_POOLS} SELECT settlement_id, txn_key, n_pool, anchor, cluster, amount, "window", score FROM scored',
-    "merchant_member_feed": f"""{_POOLS} SELECT settlement_id, txn_key FROM scored s LEFT JOIN (SELECT settlement_id, min(source) AS feed FROM scored WHERE anchor GROUP BY 1 HAVING count(DISTINCT source) = 1) f
-        USING (settlement_id) WHERE coalesce(declared_feed, feed) IS NULL OR source = coalesce(declared_feed, feed) OR anchor""",
+    "merchant_signals": f'{_POOLS} SELECT settlement_id, txn_key, n_pool, anchor, cluster, named, amount, "window", score FROM scored',
+    "merchant_member_feed": f"""{_POOLS}, feeds AS (SELECT settlement_id, CASE WHEN count(DISTINCT source) FILTER (anchor) = 1 THEN min(source) FILTER (anchor)
+        WHEN count(*) FILTER (anchor) = 0 AND count(DISTINCT source) FILTER (named) = 1 THEN min(source) FILTER (named) END AS feed FROM scored GROUP BY 1)
+        SELECT settlement_id, txn_key FROM scored s JOIN feeds f USING (settlement_id)
+        WHERE coalesce(declared_feed, feed) IS NULL OR source = coalesce(declared_feed, feed) OR (anchor AND declared_feed IS NULL)""",
     "merchant_without_siblings": f"""{_POOLS}, owner AS (SELECT txn_key, min(settlement_id) AS lo, max(settlement_id) AS hi FROM scored WHERE anchor GROUP BY 1)
         SELECT settlement_id, txn_key FROM scored LEFT JOIN owner USING (txn_key) WHERE lo IS NULL OR (lo = settlement_id AND hi = settlement_id)""",
-    "merchant_unreferenced": f"""{_POOLS}, known AS (SELECT DISTINCT settlement_id, token FROM tok JOIN sig USING (settlement_id, txn_key) WHERE anchor),
-        tied AS (SELECT DISTINCT settlement_id, txn_key FROM tok SEMI JOIN known USING (settlement_id, token))
+    "merchant_unreferenced": f"""{_POOLS}, rt AS MATERIALIZED (SELECT settlement_id, txn_key, anchor, unnest(ref_tokens) AS token FROM sig), known AS (SELECT DISTINCT settlement_id, token FROM rt WHERE anchor),
+        tied AS MATERIALIZED (SELECT DISTINCT settlement_id, txn_key FROM rt SEMI JOIN known USING (settlement_id, token))
         SELECT settlement_id, txn_key FROM sig ANTI JOIN tied USING (settlement_id, txn_key) WHERE NOT anchor""",
 }

@@ -34,6 +34,7 @@ def flagship(spark, sf_dir):
 
 def _pool(spark, sf_dir):
     f = Feeds(spark, sf_dir, once=True)
+    # orders and settlements share their numbers here, so that numbers can't tell whose a payment is: plans link with ``numbers=False``
     both = f.gateway.select("source", "txn_id", "ref", "memo", "amount_cents", "ts", "ok").unionByName(f.ledger.select("source", "txn_id", "ref", "memo", "amount_cents", "ts", "ok"))
     return f, linkage.pools(f.settlements, both, "ok")
 
@@ -66,7 +67,7 @@ clu AS (SELECT DISTINCT settlement_id, txn_key FROM shared WHERE n BETWEEN 2 AND
 sig AS (SELECT z.*, c.txn_key IS NOT NULL AS cluster, regexp_matches(upper(regexp_replace(memo, '[^A-Za-z0-9]', '', 'g')), z.settlement_id || '([^0-9]|$)') AS anchor,
                am.n > 1 AS amount, abs(settled_at - ts) <= 432000 AS "window"
         FROM sized z LEFT JOIN clu c USING (settlement_id, txn_key) JOIN (SELECT settlement_id, amount_cents, count(DISTINCT source) AS n FROM sized GROUP BY ALL) am USING (settlement_id, amount_cents)),
-scored AS (SELECT *, round(greatest(0, least(1, anchor::INT * 0.55 + cluster::INT * 0.25 + amount::INT * 0.15 + "window"::INT * 0.10 - (1 - "window"::INT) * 0.30)), 4)::DOUBLE AS score FROM sig),
+scored AS (SELECT *, round(greatest(0, least(1, anchor::INT * 0.55 + cluster::INT * 0.25 + amount::INT * 0.10 - (1 - "window"::INT) * 0.30)), 4)::DOUBLE AS score FROM sig),
 placed AS (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY anchor DESC, score DESC, txn_key) AS place FROM scored)
 ---"""
 _SIGNALS = _POOL + SIGNALS_OF
@@ -151,12 +152,12 @@ def _feeds(f):
 
 
 def _signals(s, d):
-    return linkage.score(linkage.signals(_pool(s, d)[1]))
+    return linkage.score(linkage.signals(_pool(s, d)[1], numbers=False))
 
 
 def _verdicts(s, d):
     f, pool = _pool(s, d)
-    return linkage.anchored_verdicts(f.settlements, linkage.score(linkage.signals(pool)))
+    return linkage.anchored_verdicts(f.settlements, linkage.score(linkage.signals(pool, numbers=False)))
 
 
 QUERIES = {
