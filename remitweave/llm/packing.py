@@ -1,12 +1,15 @@
 """Packing documents into sequences by balanced cost.
 
-Each map task packs its own rows, in pools of a bounded number of tokens, so nothing is shuffled. A
-document's whole blocks of ``length`` ids fill sequences of their own. The rest of it is a piece with the
+A document's whole blocks of ``length`` ids fill sequences of their own. The rest of it is a piece with the
 estimated cost ``linear * n + quadratic * n**2`` of attention over n ids. Pieces are taken in descending order;
 each goes to the sequence of lowest cost that still holds it, and only where none does, it is cut to fill the
-room left in the cheapest ones. A pool opens only as many sequences as its ids fill; what would leave a
-sequence part empty waits for the next pool. What is left when a task ends, fewer ids than a sequence holds, fills
-sequences whose lengths are powers of two, which need no padding: at most log2(length) short ones to a task.
+room left in the cheapest ones.
+
+Each map task packs its own rows, in pools of a bounded number of tokens. A pool opens only as many sequences as its ids fill; what would leave a
+sequence part empty waits for the next pool. What is left when a task ends, at most ``ENOUGH`` ids, is written beside its
+sequences, and all tasks' rests are brought together in groups of about ``POOL`` ids, which are packed alike. Only the tail of a group
+fills sequences whose lengths are powers of two, which need no padding: at most log2(length) short ones in some ``POOL / length``, however many partitions the
+documents have.
 
 Defined cases: null text is empty and still has its end id; rows with the same or a null id are documents of
 their own; pieces of equal length are taken in the order of their documents, and of sequences of equal cost that with most room
@@ -23,11 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from remitweave.llm.common import materialise
 from remitweave.llm.tokens import encoder
 
 #: Ids of rests in a pool, about 16 MB.
 POOL = 4_000_000
+#: Ids of rests with which a task's last pool is packed in the task; fewer make a poor pool, and wait for those of other tasks.
+ENOUGH = 1 << 18
+#: Numbers of the tasks that pack the rests start here.
+SECOND = 1 << 20
 
 
 def cost(n: int, linear: float, quadratic: float) -> float:
@@ -105,43 +114,50 @@ def pack(
     ``vocabulary``: path of a byte-level vocabulary of the tokenizers library.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, "spaced")
-        sequence = TaskContext.get().partitionId() << 40
-        rests: list[tuple[object, int, int, bytes]] = []  # id, start, document's ids, ids
-        waiting, id_type = 0, pa.null()
-        rows: list[tuple] = []
+    class Task:
+        """Rows and rests of one task. A row without a sequence (-1) is a rest; others hold their ids only if they are asked for."""
+
+        def __init__(self, first_sequence: int, id_type: pa.DataType):
+            self.sequence, self.id_type = first_sequence, id_type
+            self.rests: list[tuple[object, int, int, bytes]] = []  # id, start, document's ids, ids
+            self.waiting = 0
+            self.rows: list[tuple] = []
+
+        def piece(self, ident: object, start: int, doc_tokens: int, ids: bytes, seq: int, offset: int) -> None:
+            self.rows.append((ident, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, seq, offset, ids if with_ids or seq < 0 else None))
 
-        def piece(ident, start, doc_tokens, ids, seq, offset):
-            rows.append((ident, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, seq, offset, *[ids] * with_ids))
+        def wait(self, ident: object, start: int, doc_tokens: int, ids: bytes) -> None:
+            self.rests.append((ident, start, doc_tokens, ids))
+            self.waiting += len(ids) // 4
 
-        def flush(last: bool) -> None:
-            nonlocal rests, sequence, waiting
-            seqs, left = assign([(len(r[3]) // 4, k) for k, r in enumerate(rests)], length, linear, quadratic, last)
+        def flush(self, last: bool) -> None:
+            seqs, left = assign([(len(r[3]) // 4, k) for k, r in enumerate(self.rests)], length, linear, quadratic, last)
             for s in seqs:
                 offset = 0
                 for key, a, b in s:
-                    ident, start, doc_tokens, ids = rests[key]
-                    piece(ident, start + a, doc_tokens, ids[4 * a : 4 * b], sequence, offset)
+                    ident, start, doc_tokens, ids = self.rests[key]
+                    self.piece(ident, start + a, doc_tokens, ids[4 * a : 4 * b], self.sequence, offset)
                     offset += b - a
-                sequence += 1
-            rests = [(rests[k][0], rests[k][1] + a, rests[k][2], rests[k][3][4 * a : 4 * b]) for k, a, b in left]
-            waiting = sum(len(r[3]) // 4 for r in rests)
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            nonlocal rows
-            for at in range(0, len(rows), 4096):
-                cols = list(zip(*rows[at : at + 4096], strict=True))
-                types = [id_type, *[pa.int64()] * 6, *[pa.binary()] * with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-            rows = []
+                self.sequence += 1
+            self.rests = [(self.rests[k][0], self.rests[k][1] + a, self.rests[k][2], self.rests[k][3][4 * a : 4 * b]) for k, a, b in left]
+            self.waiting = sum(len(r[3]) // 4 for r in self.rests)
 
+        def emit(self) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(self.rows), 4096):
+                cols = list(zip(*self.rows[at : at + 4096], strict=True))
+                types = [self.id_type, *[pa.int64()] * 6, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*names, "ids"])
+            self.rows = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary, "spaced")
+        task = Task(TaskContext.get().partitionId() << 40, pa.null())
         for batch in batches:
-            id_type = batch.schema.field(0).type
+            task.id_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 for ident, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
@@ -149,15 +165,33 @@ def pack(
                     n = len(ids) // 4
                     whole = n // length * length
                     for a in range(0, whole, length):
-                        piece(ident, a, n, ids[4 * a : 4 * (a + length)], sequence, 0)
-                        sequence += 1
+                        task.piece(ident, a, n, ids[4 * a : 4 * (a + length)], task.sequence, 0)
+                        task.sequence += 1
                     if whole < n:
-                        rests.append((ident, whole, n, ids[4 * whole :]))
-                        waiting += n - whole
-                if waiting >= POOL:
-                    flush(False)
-                yield from emit()
-        flush(True)
-        yield from emit()
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+                        task.wait(ident, whole, n, ids[4 * whole :])
+                if task.waiting >= POOL:
+                    task.flush(False)
+                yield from task.emit()
+        if task.waiting >= ENOUGH:
+            task.flush(False)
+        for ident, start, doc_tokens, ids in task.rests:
+            task.piece(ident, start, doc_tokens, ids, -1, 0)
+        yield from task.emit()
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = Task(TaskContext.get().partitionId() + SECOND << 40, pa.null())
+        for batch in batches:
+            task.id_type = batch.schema.field(0).type
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                task.wait(*row)
+            if task.waiting >= 2 * POOL:
+                task.flush(False)
+                yield from task.emit()
+        task.flush(True)
+        yield from task.emit()
+
+    first = materialise(docs.select(id_col, text_col).mapInArrow(run, schema))
+    rests = first.filter("sequence_id < 0").select("id", "start", "doc_tokens", "ids")
+    waiting = first.filter("sequence_id < 0").agg(F.sum("length").alias("n")).first()["n"] or 0
+    second = rests.repartition(max(1, round(waiting / POOL))).mapInArrow(together, schema)
+    return first.filter("sequence_id >= 0").unionByName(second).select(*names, *["ids"] * with_ids)

@@ -57,7 +57,7 @@ def test_packing_holds_every_id_once(odd_docs):
     assert sum(p["length"] for p in pieces) == total
     lengths = [sum(n for _, n in spans) for spans in by_sequence.values()]
     assert all(n & (n - 1) == 0 for n in lengths)  # no padding at all
-    assert sum(n < 1024 for n in lengths) <= 10 * odd_docs.rdd.getNumPartitions()
+    assert sum(n < 1024 for n in lengths) <= 10
     single = {k: v for k, v in by_doc.items() if sum(i == k[0] for i, _ in rows) == 1}
     for (ident, n), spans in single.items():
         ids = [x for _, part in sorted(spans) for x in part]
@@ -93,10 +93,33 @@ def test_pieces_go_whole_to_the_cheapest_sequence_that_holds_them():
     assert not left and not any(room)
 
 
-def test_packing_pads_nothing_over_many_partitions(spark):
-    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('some words ', cast(id AS int)) AS text", "'x' AS ids", "1 AS offset").repartition(60)
-    lengths = packing.pack(docs, BYTES).groupBy("sequence_id").sum("length").toPandas().iloc[:, 1]
+def test_packing_does_not_depend_on_partitions(spark):
+    docs = spark.range(500).selectExpr("id AS doc_id", "repeat('some words ', cast(5 + pow(id * 7 % 500, 2) / 600 AS int)) AS text", "'x' AS ids", "1 AS offset")
+    cut = {}
+    for partitions in (1, 64, 211, 500):
+        found = packing.pack(docs.repartition(partitions), BYTES, with_ids=False).toPandas()
+        lengths = found.groupby("sequence_id").length.sum()
+        total = int(found.length.sum())
+        assert all(n & (n - 1) == 0 and n <= 1024 for n in lengths)  # no padding at all
+        assert (lengths < 1024).sum() <= 10 and len(lengths) <= total // 1024 + 10
+        assert (found.groupby("id").length.sum() == found.groupby("id").doc_tokens.first()).all()
+        cut[partitions] = (found[found.doc_tokens <= 1024].groupby("id").size() > 1).mean()
+    # documents that would fit a sequence are cut as seldom as from one partition
+    assert max(cut.values()) <= cut[1] + 0.02 and cut[1] <= 0.25
+
+
+def test_pools_of_tasks_and_of_their_rests(spark, monkeypatch):
+    # tiny pools, so that tasks pack their own rows, and rests are brought together in several groups
+    monkeypatch.setattr(packing, "POOL", 6000)
+    monkeypatch.setattr(packing, "ENOUGH", 3000)
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('some words ', cast(id AS int)) AS text").repartition(12)
+    found = packing.pack(docs, BYTES).toPandas()
+    lengths = found.groupby("sequence_id").length.sum()
     assert all(n & (n - 1) == 0 and n <= 1024 for n in lengths)
+    for _, doc in found.sort_values("start").groupby("id"):
+        assert doc.length.sum() == doc.doc_tokens.iloc[0] and (doc.start == doc.length.cumsum() - doc.length).all()
+    for _, s in found.sort_values("offset").groupby("sequence_id"):
+        assert (s.offset == s.length.cumsum() - s.length).all()
 
 
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
