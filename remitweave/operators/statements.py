@@ -5,12 +5,14 @@ A statement is a file, read whole by one task as it must balance as a whole; fil
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from remitweave.sources.shared import written
+
 
 def detect(content: Column) -> Column:
-    """Format by the first bytes; content is text."""
+    """Format by the first characters; content is text."""
     head = F.substring(F.ltrim(content), 1, 400)
     return (
         F.when(head.startswith("%PDF"), "pdf")
@@ -106,6 +108,35 @@ def verify(lines: DataFrame) -> DataFrame:
     return out.withColumn("balances", F.coalesce(adds & F.col("first_bad_line").isNull(), F.lit(False)))
 
 
+#: What every parser gives; a balance of each line is known of text only.
+LINE = ("file", "line", "day", "amount_cents", "reference", "narration", "opening_cents", "closing_cents", "balance_cents")
+#: Files that hold no text, and why they are refused.
+UNREAD = {"pdf": "a PDF", "image": "a picture"}
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """All statements below ``path``, whatever their kinds: their lines (``LINE``, and kind), and one row per file with kind, n, what ``verify`` finds, holds, and
+    why it is refused (null if it holds). Each file goes to the parser that its content asks for; its lines are read once and written, as proof and use both need them."""
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.hex(F.substring("content", 1, 4)).alias("_first"))
+    picture = F.col("_first").isin("89504E47") | F.col("_first").startswith("FFD8FF")
+    files = raw.withColumn("kind", F.when(picture, "image").otherwise(detect(F.col("content")))).drop("_first")
+    parts = []
+    for kind, parser in {"mt940": mt940, "ofx": ofx, "camt053": camt053, "text": text_rows}.items():
+        rows = parser(files.filter(F.col("kind") == kind))
+        parts.append(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("bigint").alias(c) for c in LINE], F.lit(kind).alias("kind")))
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    lines = written(lines)
+    proof = files.select("file", "kind").join(verify(lines), "file", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    holds = F.coalesce("balances", F.lit(False))
+    why = F.lit(None).cast("string")
+    for kind, reason in UNREAD.items():
+        why = F.when(F.col("kind") == kind, reason).otherwise(why)
+    refused = F.coalesce(why, F.when(F.col("n") == 0, "no lines").when(F.col("opening_cents").isNull() | F.col("closing_cents").isNull(), "states no balance").when(~holds, "does not balance"))
+    return lines, proof.withColumn("holds", holds & refused.isNull()).withColumn("refused", refused).drop("balances")
+
+
 def credits(lines: DataFrame, proof: DataFrame) -> DataFrame:
     """Credits of the files that balance, as feed rows; repeated references get a suffix of their place."""
     rows = lines.join(proof.filter("balances").select("file"), "file", "left_semi").filter("amount_cents > 0")

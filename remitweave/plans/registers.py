@@ -11,6 +11,7 @@ from remitweave.plans import functions, ledgers
 from remitweave.plans import settlements as st
 from remitweave.plans.bridge_sql import sql
 from remitweave.sources import bridge, files, lists
+from remitweave.streaming import notices
 
 
 def _text(cents):
@@ -136,7 +137,20 @@ def rate_gaps(s, d):
     return rates.gaps(said, published).withColumn("gap", F.round("gap", 6))
 
 
+def pending_notices(s, d):
+    """Settlements that events announce and no later mark closes: every event in four is of another kind, every one in seven marks its user's settlement."""
+    e = bridge.table(s, d, "events").withColumn("settlement_id", bridge.code("SET", "user_id", 7))
+    sent = e.select(
+        F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_id") % 4 == 0, "payment.captured").otherwise("settlement.processed").alias("event"), "settlement_id",
+        F.round(F.col("value") * 100).cast("bigint").alias("amount_cents"), F.lit("inr").alias("currency"), F.col("ts").cast("timestamp").alias("received"),
+    )
+    done = notices.marks(e.filter("event_id % 7 = 0").select("settlement_id", F.col("ts").cast("timestamp").alias("at")))
+    left = notices.pending(notices.announcements(sent).unionByName(done))
+    return left.select("settlement_id", "event_id", "amount_cents", "currency", F.unix_micros("received").alias("received_us"))
+
+
 QUERIES = {
+    "pending_notices": pending_notices,
     "members_by_type": members_by_type,
     "tcs_findings": tcs_findings,
     "undeclared_rates": undeclared_rates,
@@ -159,6 +173,10 @@ QUERIES = {
 }
 _DECLARED = """said AS (SELECT settlement_id, c AS currency, CAST(to_timestamp(settled_at) AT TIME ZONE 'UTC' AS DATE) AS day, (80 + ok % 7)::DOUBLE AS rate FROM settlement, (VALUES ('USD'), ('AED')) AS t(c) WHERE c = 'USD' OR ok % 2 = 0)"""
 SQL = {
+    "pending_notices": """n AS (SELECT 'SET' || lpad(user_id::VARCHAR, 7, '0') AS settlement_id, event_id, CAST(round(value * 100) AS BIGINT) AS amount_cents, epoch_us(ts) AS t FROM events),
+        a AS (SELECT * FROM n WHERE event_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY settlement_id ORDER BY t DESC, event_id::VARCHAR DESC) = 1),
+        m AS (SELECT settlement_id, max(t) AS marked FROM n WHERE event_id % 7 = 0 GROUP BY 1)
+---SELECT settlement_id, event_id::VARCHAR AS event_id, amount_cents, 'INR' AS currency, t AS received_us FROM a LEFT JOIN m USING (settlement_id) WHERE marked IS NULL OR marked < t""",
     "members_by_type": """SELECT CASE WHEN pk % 13 <> 0 THEN 'STL' || lpad(ok::VARCHAR, 9, '0') END AS settlement_id, CASE WHEN ln = 7 THEN 'refund' ELSE 'payment' END AS type, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS value_cents FROM gateway GROUP BY 1, 2""",
     "tcs_findings": f"""p AS (SELECT ok, CASE WHEN ln = 7 THEN -amount_cents ELSE amount_cents END AS a, {functions._rate(functions._ist('ts + 840000000'), fees.TCS)} AS rate, CASE WHEN pk % 4 = 0 THEN 200 ELSE 100 END AS part FROM gateway WHERE ok % 3 <> 0),
         e AS (SELECT ok, greatest(round_even(coalesce(sum(a * rate), 0) / 10000, 0)::BIGINT, 0) AS expected_cents, CAST(sum(trunc(a / part)) AS BIGINT) AS actual_cents FROM p GROUP BY 1)

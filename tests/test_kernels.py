@@ -114,12 +114,12 @@ def test_statements(spark, kind, text):
 
 def test_csv_feed(spark, tmp_path):
     (tmp_path / "a.csv").write_text(
-        "Payment ID,Order ID,Amount,Currency,Created At,Note\np1,O-1,\"₹1,234.50\",,2024-01-02T10:00:00Z,x\np2,O-2,12.5,usd,2024-01-02T10:00:00,y\np3,O-3,oops,INR,2024-01-02T10:00:00,\n"
+        "Payment ID,Order ID,Amount,Currency,Created At,Shelf\np1,O-1,\"₹1,234.50\",,2024-01-02T10:00:00Z,x\np2,O-2,12.5,usd,2024-01-02T10:00:00,y\np3,O-3,oops,INR,2024-01-02T10:00:00,\n"
     )
     rows = files.normalise(files.read_csv(spark, str(tmp_path / "a.csv")), "bank")
     good, bad = files.accepted(rows)
     found = {r["txn_id"]: r for r in good.collect()}
-    assert found["p1"]["amount_cents"] == 123450 and found["p1"]["currency"] == "INR" and not found["p1"]["currency_stated"] and found["p1"]["extra"] == {"Note": "x"}
+    assert found["p1"]["amount_cents"] == 123450 and found["p1"]["currency"] == "INR" and not found["p1"]["currency_stated"] and found["p1"]["extra"] == {"Shelf": "x"}
     assert found["p2"]["tz_confidence"] == "INFERRED" and str(found["p2"]["ts"]) == "2024-01-02 04:30:00" and found["p1"]["ref"] == "O1"
     assert [r["error"] for r in bad.collect()] == ["amount: not a plain amount"]
     assert files.header_map(["Transactoin ID", "Net Amount (INR)", "Value Dt", "Narrations"])["amount"] == ["Net Amount (INR)"]
