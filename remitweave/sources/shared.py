@@ -29,3 +29,8 @@ def written(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as shuffles have, before dear work in Python: by size alone a table of few, narrow rows would be left to one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
