@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from remitweave.functions import narration
 
 
-def tie_out(settlements: DataFrame, payments: DataFrame) -> DataFrame:
-    """Per settlement: members, their gross and net sums, and the residual against the stated net.
+def tie_out(settlements: DataFrame, payments: DataFrame, *more: Column) -> DataFrame:
+    """Per settlement: members, their gross and net sums, ``more`` aggregates of them, and the residual against the stated net.
 
     settlements: settlement_id, ok, net_cents; payments: ok, amount_cents, fee_cents, gst_cents.
     """
@@ -17,6 +17,7 @@ def tie_out(settlements: DataFrame, payments: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_members"),
         F.sum("amount_cents").alias("gross_cents"),
         F.sum(F.col("amount_cents") - F.col("fee_cents") - F.col("gst_cents")).alias("computed_net_cents"),
+        *more,
     )
     n = F.coalesce("n_members", F.lit(0))
     residual = F.coalesce("computed_net_cents", F.lit(0)) - F.col("net_cents")
@@ -54,12 +55,15 @@ def bank_check(settlements: DataFrame, credits: DataFrame) -> DataFrame:
     )
 
 
+def voucher_key(txn_id: Column) -> Column:
+    """A payment's number without the voucher marks that books put before it."""
+    return F.regexp_replace(txn_id, "^(JV)+", "")
+
+
 def books_check(payments: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Payments that the ledger knows under none of their identifiers."""
-    known = ledger.select(F.explode(F.array(F.col("txn_id"), F.regexp_replace("txn_id", "^JV", ""))).alias("name")).distinct()
-    named = payments.select("txn_id", F.explode(F.array(F.col("txn_id"), F.concat(F.lit("JV"), F.col("txn_id")))).alias("name"))
-    met = named.join(known, "name", "left_semi").select("txn_id").distinct()
-    return payments.join(met, "txn_id", "left_anti")
+    """Payments that the ledger doesn't know by their number, with or without voucher marks."""
+    known = ledger.select(voucher_key(F.col("txn_id")).alias("_key"))
+    return payments.withColumn("_key", voucher_key(F.col("txn_id"))).join(known, "_key", "left_anti").drop("_key")
 
 
 def status(tie: Column, bank: Column, missing: Column) -> Column:
@@ -72,12 +76,12 @@ def status(tie: Column, bank: Column, missing: Column) -> Column:
 
 
 def settlement_report(settlements: DataFrame, payments: DataFrame, credits: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The checks together, one row per settlement."""
-    missing = books_check(payments, ledger).groupBy("ok").agg(F.count(F.lit(1)).alias("missing_in_books"))
+    """The checks together, one row per settlement. Payments are read once: what the books don't know is marked first, and sums and missing ones are one aggregate."""
+    known = ledger.select(voucher_key(F.col("txn_id")).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    marked = payments.select("ok", "amount_cents", "fee_cents", "gst_cents", voucher_key(F.col("txn_id")).alias("_key")).join(known, "_key", "left")
+    tied = tie_out(settlements, marked, F.count_if(F.col("_known").isNull()).alias("missing_in_books"))
     return (
-        tie_out(settlements, payments)
-        .join(bank_check(settlements, credits).select("settlement_id", "bank"), "settlement_id")
-        .join(missing, "ok", "left")
+        tied.join(bank_check(settlements, credits).select("settlement_id", "bank"), "settlement_id")
         .withColumn("missing_in_books", F.coalesce("missing_in_books", F.lit(0)))
         .withColumn("status", status(F.col("tie_out"), F.col("bank"), F.col("missing_in_books")))
         .select("settlement_id", "n_members", "net_cents", "residual_cents", "tie_out", "bank", "missing_in_books", "status")

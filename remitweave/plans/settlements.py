@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from remitweave.operators import linkage, tie_out
@@ -11,14 +13,21 @@ from remitweave.sources.shared import written
 
 
 class Feeds:
-    """The gateway's payments, which need a shuffle to place them, and what is derived from them. ``once``: they are written once for plans that
-    read them several times, so that the order lines are scanned and shuffled once."""
+    """The gateway's payments, which need a shuffle to place them, and what is derived from them. ``once``: they, the settlements and the bank's credits are
+    written once for plans that read them several times, so that the order lines are scanned and shuffled once."""
 
     def __init__(self, spark, sf_dir, once=False):
-        self.gateway = written(bridge.gateway(spark, sf_dir)) if once else bridge.gateway(spark, sf_dir)
+        self._kept = written if once else lambda df: df
+        self.gateway = self._kept(bridge.gateway(spark, sf_dir))
         self.ledger = bridge.ledger(self.gateway)
-        self.settlements = bridge.settlements(self.gateway)
-        self.bank = bridge.bank(self.settlements)
+
+    @cached_property
+    def settlements(self):
+        return self._kept(bridge.settlements(self.gateway))
+
+    @cached_property
+    def bank(self):
+        return self._kept(bridge.bank(self.settlements))
 
     def claims(self):
         """Each settlement claims its own payments; every eighth also the first ones of its neighbour."""
@@ -147,8 +156,8 @@ def _alike(s, d):
     return linkage.interchangeable(p, p.filter("txn_id LIKE '%7'"))
 
 
-def _feeds(f):
-    return lambda s, d: f(Feeds(s, d))
+def _feeds(f, once=False):
+    return lambda s, d: f(Feeds(s, d, once))
 
 
 def _signals(s, d):
@@ -162,11 +171,11 @@ def _verdicts(s, d):
 
 QUERIES = {
     "flagship_tie_out": flagship,
-    "bank_check": _feeds(lambda f: tie_out.bank_check(f.settlements, f.bank)),
+    "bank_check": _feeds(lambda f: tie_out.bank_check(f.settlements, f.bank), once=True),
     "books_check": _feeds(lambda f: tie_out.books_check(f.gateway, f.ledger).select("txn_id", "ref", "amount_cents")),
     "report_summary": lambda s, d: tie_out.report_summary(flagship(s, d)),
     "settlements_from_lines": _lines,
-    "settlement_credit": _feeds(lambda f: tie_out.settlement_credit(f.settlements, f.bank)),
+    "settlement_credit": _feeds(lambda f: tie_out.settlement_credit(f.settlements, f.bank), once=True),
     "cash_position": _cash,
     "settlement_journal": _feeds(lambda f: tie_out.journal(f.settlements, f.gateway)),
     "contested_payments": _feeds(lambda f: tie_out.contested(f.claims())),
