@@ -5,8 +5,8 @@ Each stage works on what its predecessor kept, read again from Parquet. All but
 
 Defined cases, of every stage: null and empty texts are scored, and if they stay are one group of exact copies, pieces of their end id alone; a text of any length is read
 whole; a null id loses to any other of its group; rows that tie in length and id leave one of them; a null source is a source without a weight of its own; repeated
-rows are copies of one another; an empty table passes through as one; columns beside those of ``documents`` are kept up to the last stage, whatever their names, and
-no stage takes them for its own.
+rows are copies of one another; an empty table passes through as one; columns beside those of ``documents`` are kept up to the last stage, but that
+ones called n_copies, copy or shuffle_key hold what the mixing stage makes of them (``mixing``).
 """
 
 from __future__ import annotations
