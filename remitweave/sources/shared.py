@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,6 +32,8 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over as many tasks as shuffles have, before dear work in Python: by size alone a table of few, narrow rows would be left to one."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def dealt(df: DataFrame, *keys: str, anew: bool = False) -> DataFrame:
+    """``df`` over as many tasks as shuffles have, before dear work in Python: by size alone a table of few, narrow rows would be left to one. What follows may group by
+    ``keys`` without a further shuffle. ``anew``: rows that already lie by their keys are dealt again, by a hash of these."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*keys)) if anew else df.repartition(n, *keys)
