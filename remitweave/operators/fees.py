@@ -23,11 +23,9 @@ METHOD_ALIASES = {
 
 
 def bps(amount: Column, rate: Column | int) -> Column:
-    """Half to even, in whole numbers, or in decimals where the product exceeds 64 bits; a result beyond them is null."""
-    by = rate if isinstance(rate, Column) else F.lit(rate)
-    product = F.try_multiply(amount.cast("bigint"), by.cast("bigint"))
-    quick = F.call_function("div", F.bround(F.when(F.abs(product) < (1 << 62), product), -4), F.lit(10000).cast("bigint"))
-    return F.coalesce(quick, F.bround(amount.cast("decimal(28,0)") * by.cast("decimal(5,0)") / F.lit(10000).cast("decimal(5,0)"), 0).try_cast("bigint"))
+    """Half to even, in decimals; beyond 64 bits null. It holds ``amount`` once: forms in whole numbers or doubles that need it more often were slower, as fees, taxes
+    on them and tolerances nest (sf0.1, ``fee_audit``: 9 to 11 s instead of 5)."""
+    return F.bround(amount.cast("decimal(28,0)") * (rate if isinstance(rate, Column) else F.lit(rate)).cast("decimal(5,0)") / F.lit(10000).cast("decimal(5,0)"), 0).try_cast("bigint")
 
 
 def normal_method(raw: Column) -> Column:
