@@ -85,13 +85,33 @@ def test_language_matches_a_naive_version(spark, odd_docs):
     assert texts and model.idf.max() <= math.log(1 + n) + 1 + 1e-12
 
 
-def test_language_sample_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "LANGUAGES", 3)
-    monkeypatch.setattr(language_id, "LONGEST", 500)
-    monkeypatch.setattr(language_id, "LEARN_CHARS", 6000)
-    rows = [(k, f"{'abcdefgh'[k % 8]}x " * (10 if k % 50 else 400), "abcdefgh"[k % 8] if k % 8 < 4 else "dirty" + str(k)) for k in range(800)]
-    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(model.languages) == 3 and set(model.languages) <= set("abcd")
+def test_every_language_is_learned(spark):
+    """300 languages, beyond which places are fewer; most have a single document."""
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{'qxzj'[k % 4]}{chr(97 + k * 7 % 26)}" for k in range(300)]
+    rows = [(k, f"{words[k % 300]} " * 30, f"l{k % 300:03}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.languages) == 300 and model.weights.shape == (1 << 15, 300)
+    found = language_id.identify(docs, model, ["doc_id", "lang"]).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in found) > 0.95 * len(found)
+
+
+def test_long_texts_are_learned_within_the_bound(spark, monkeypatch):
+    """A language whose documents are all long is learned from its whole first one; what the driver gets is bounded."""
+    monkeypatch.setattr(language_id, "ENTRIES", 600)
+    rows = [(k, " ".join(f"xyz{'abcdefghij'[j * 7 % 10]}{'klmnop'[j % 6]}" for j in range(60_000)), "long") for k in range(3)]
+    rows += [(10 + k, f"wert huio {k}", "short") for k in range(200)]
+    seen = []
+    fit = language_id.ftrl
+    monkeypatch.setattr(language_id, "ftrl", lambda model, examples, classes: (seen.extend(zip(examples, classes, strict=True)), fit(model, examples, classes)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == ("long", "short")
+    whole = [e for e, c in seen if c == 0]
+    assert max(int(n.sum()) for _, n in whole) > 3 * 60_000 * 5  # one-, two- and three-letter pieces of the whole text
+    assert sum(len(at) for (at, _), c in seen if c == 1) <= 300
+    found = language_id.identify(docs, model, ["doc_id", "lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found)
 
 
 def test_language_defined_cases(odd_docs, no_docs):
