@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitweave.operators import similarity
+from remitweave.sources.shared import written
 
 UNKNOWN_PAYER = "UNKNOWN_PAYER"
 #: Words that raise a keyword alert.
@@ -18,19 +19,21 @@ KEYWORDS = ("bomb", "terror", "isis", "taliban", "crypto", "hawala", "donation",
 #: Rule, severity, action, basis.
 RULES = (
     ("SANCTIONS_HIT", "HIGH", "BLOCKED", "statutory"),
-    ("SANCTIONS_POTENTIAL_MATCH", "HIGH", "FLAGGED", "internal_policy"),
+    ("SANCTIONS_POTENTIAL_MATCH", "HIGH", "FLAGGED", "statutory"),
     ("LIMIT_EXCEEDED", "HIGH", "BLOCKED", "internal_policy"),
     ("CTR_THRESHOLD", "MEDIUM", "FLAGGED", "statutory"),
     ("CTR_AGGREGATE", "MEDIUM", "FLAGGED", "statutory"),
-    ("STRUCTURING_PATTERN", "MEDIUM", "FLAGGED", "statutory"),
-    ("CIRCULAR_FLOW", "HIGH", "FLAGGED", "internal_policy"),
-    ("CROSS_BORDER_LIMIT", "MEDIUM", "FLAGGED", "statutory"),
-    ("DORMANT_ACCOUNT_SPIKE", "LOW", "FLAGGED", "internal_policy"),
+    ("STRUCTURING_PATTERN", "MEDIUM", "FLAGGED", "regulatory_guidance"),
+    ("CIRCULAR_FLOW", "HIGH", "FLAGGED", "regulatory_guidance"),
+    ("CROSS_BORDER_LIMIT", "MEDIUM", "FLAGGED", "regulatory_guidance"),
+    ("DORMANT_ACCOUNT_SPIKE", "LOW", "FLAGGED", "regulatory_guidance"),
     ("HIGH_VELOCITY", "MEDIUM", "FLAGGED", "internal_policy"),
     ("KEYWORD_ALERT", "MEDIUM", "FLAGGED", "internal_policy"),
     ("CONCENTRATION_RISK", "MEDIUM", "FLAGGED", "internal_policy"),
     ("DUPLICATE_TX", "LOW", "FLAGGED", "internal_policy"),
 )
+#: Rules whose findings may close by themselves.
+AUTO = ("DUPLICATE_TX",)
 DAY = 86_400
 
 
@@ -215,9 +218,23 @@ def review(found: DataFrame, txns: DataFrame) -> DataFrame:
 
 
 def disposition(found: DataFrame) -> DataFrame:
-    """Who decides: only a low, internal duplicate is closed automatically."""
-    auto = (F.col("action") != "BLOCKED") & (F.col("basis") == "internal_policy") & (F.col("severity") == "LOW") & (F.col("rule_id") == "DUPLICATE_TX")
-    return found.withColumn("disposition", F.when(auto, "auto").otherwise("human"))
+    """Who decides each finding, and why: the first of these that holds. Only a low finding of a house rule that tells a data artefact (``AUTO``) closes by itself;
+    ``open_question`` is what such a close leaves unanswered."""
+    basis, severity, auto = F.lower(F.trim("basis")), F.upper(F.trim("severity")), F.trim("rule_id").isin(*AUTO)
+    reason = (
+        F.when(F.upper(F.trim("action")) == "BLOCKED", "blocked")
+        .when(basis == "statutory", "statutory")
+        .when(severity == "HIGH", "high_severity")
+        .when((basis == "internal_policy") & (severity == "LOW") & auto, "data_artefact")
+        .when(basis == "regulatory_guidance", "ambiguous_pattern")
+        .otherwise("no_rule_closes_it")
+    )
+    closed = F.col("reason") == "data_artefact"
+    return (
+        found.withColumn("reason", reason)
+        .withColumn("disposition", F.when(closed, "auto").otherwise("human"))
+        .withColumn("open_question", F.when(closed, "was the customer charged twice?"))
+    )
 
 
 def triage(decided: DataFrame) -> DataFrame:
@@ -227,25 +244,44 @@ def triage(decided: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame, *, legs: tuple[int, int] = (3, 5), hop: int = DAY) -> DataFrame:
     """Payments that return to their first payer in 3 to 5 legs through distinct parties, each hop at most ``hop`` seconds
-    after the one before. edges: txn_id, payer, payee, ts. One row per set of payments: legs, txn_ids (sorted, comma-joined)."""
+    after the one before. edges: txn_id, payer, payee, ts. One row per set of payments: legs, txn_ids (sorted, comma-joined).
+
+    Paths have three legs at most: longer cycles are two paths, joined on both of their ends, so that a busy party's rows don't grow with each leg."""
     both = edges.filter("payer <> payee")
     # a party of a cycle pays and is paid
     both = both.join(both.select(F.col("payee").alias("payer")).distinct(), "payer", "left_semi").join(both.select(F.col("payer").alias("payee")).distinct(), "payee", "left_semi")
     step = both.select(F.col("txn_id").alias("t"), F.col("payer").alias("p"), F.col("payee").alias("q"), F.col("ts").alias("s"), F.floor(F.col("ts") / hop).alias("slot"))
     # each hop lands in the slot of its predecessor or the next one: an equality that bounds the range join
     wide = step.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") - 1)))
-    path = step.select(F.col("p").alias("home"), F.array("p").alias("met"), F.col("q").alias("at"), F.col("s").alias("last"), F.col("slot"), F.array("t").alias("ids"))
-    out = None
-    for n in range(2, legs[1] + 1):
-        path = (
+
+    def extended(path: DataFrame) -> DataFrame:
+        """path: home, met (the parties after it, the last one included), at, first, last, slot, ids."""
+        return (
             path.alias("a")
             .join(wide.alias("b"), (F.col("a.at") == F.col("b.p")) & (F.col("a.slot") == F.col("b.slot")))
-            .filter((F.col("s") >= F.col("last")) & (F.col("s") <= F.col("last") + hop) & ~F.array_contains("ids", F.col("t")))
-            .filter(~F.array_contains(F.slice("met", 2, 10), F.col("q")))
-            .select("home", F.array_append("met", F.col("at")).alias("met"), F.col("q").alias("at"), F.col("s").alias("last"), F.floor(F.col("s") / hop).alias("slot"), F.array_append("ids", F.col("t")).alias("ids"))
+            .filter(F.col("s").between(F.col("last"), F.col("last") + hop) & ~F.array_contains("ids", F.col("t")) & ~F.array_contains("met", F.col("q")))
+            .select(
+                "home", F.array_append("met", F.col("q")).alias("met"), F.col("q").alias("at"), "first", F.col("s").alias("last"), F.floor(F.col("s") / hop).alias("slot"),
+                F.array_append("ids", F.col("t")).alias("ids"),
+            )
+        )
+
+    def found(rows: DataFrame, ids: Column) -> DataFrame:
+        return rows.select(F.size(ids).alias("legs"), F.array_join(F.array_sort(ids), ",").alias("txn_ids"))
+
+    def closed(there: DataFrame) -> DataFrame:
+        """Cycles of a path and one of two legs that leads back."""
+        x, y = there.alias("x"), two.alias("y")
+        back = (F.col("x.at") == F.col("y.home")) & (F.col("x.home") == F.col("y.at")) & F.col("y.first").between(F.col("x.last"), F.col("x.last") + hop)
+        return found(
+            x.join(y, back).filter(~F.array_contains("x.met", F.col("y.met")[0]) & ~F.arrays_overlap("x.ids", "y.ids")), F.concat("x.ids", "y.ids")
         )
-        if n >= legs[0]:
-            closed = path.filter("at = home").select(F.lit(n).alias("legs"), F.concat_ws(",", F.array_sort("ids")).alias("txn_ids"))
-            out = closed if out is None else out.unionByName(closed)
-        path = path.filter("at <> home")
+
+    one = step.select(F.col("p").alias("home"), F.array("q").alias("met"), F.col("q").alias("at"), F.col("s").alias("first"), F.col("s").alias("last"), "slot", F.array("t").alias("ids"))
+    two = written(extended(one).filter("at <> home"))
+    three = extended(two)
+    by_legs = {3: found(three.filter("at = home"), F.col("ids")), 4: closed(two), 5: closed(three.filter("at <> home"))}
+    out = None
+    for n in range(legs[0], legs[1] + 1):
+        out = by_legs[n] if out is None else out.unionByName(by_legs[n])
     return out.distinct()

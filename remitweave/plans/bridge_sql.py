@@ -28,6 +28,10 @@ bank AS (SELECT 'BNK' || lpad(ok::VARCHAR, 9, '0') AS entry_id, net_cents - CASE
 flow AS (SELECT 'gateway' AS source, event_id::VARCHAR AS txn_id, 'U' || user_id AS payer_id, 'M' || (event_id % 7) AS payee_id,
                CAST(round(value * 100) AS BIGINT) AS amount_cents, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id % 3 = 0 AS is_cash, event_id % 5 = 0 AS is_wire,
                event_type AS memo FROM events),
+leg AS (SELECT *, unnest([0, 1, 2]) AS leg FROM flow WHERE txn_id::BIGINT % 89 = 0),
+screened AS (SELECT * FROM flow UNION ALL SELECT * REPLACE ('R' || txn_id AS txn_id) FROM flow WHERE txn_id::BIGINT % 97 = 0
+             UNION ALL SELECT source, 'C-' || txn_id || '-' || leg, CASE leg WHEN 0 THEN payer_id WHEN 1 THEN 'A' || txn_id ELSE 'B' || txn_id END,
+                    CASE leg WHEN 0 THEN 'A' || txn_id WHEN 1 THEN 'B' || txn_id ELSE payer_id END, amount_cents, ts + 3600 * (leg + 1), is_cash, is_wire, memo FROM leg),
 edge AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS txn_id, o_custkey::BIGINT AS payer,
                l_partkey::BIGINT AS payee, CAST(epoch(l_shipdate) AS BIGINT) AS ts
          FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_partkey)

@@ -125,6 +125,22 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows, every 97th of them a second time under another id, and for every 89th three payments that lead its payer's money back through two other accounts."""
+    rows = flows(spark, sf_dir)
+    id_ = F.col("txn_id").cast("bigint")
+    again = rows.filter(id_ % 97 == 0).withColumn("txn_id", F.concat(F.lit("R"), "txn_id"))
+    first, second = F.concat(F.lit("A"), "txn_id"), F.concat(F.lit("B"), "txn_id")
+    legs = F.array(*[
+        F.struct(F.lit(k).alias("leg"), a.alias("from"), b.alias("to")) for k, (a, b) in enumerate([(F.col("payer_id"), first), (first, second), (second, F.col("payer_id"))])
+    ])
+    round_trip = rows.filter(id_ % 89 == 0).withColumn("leg", F.explode(legs)).select(
+        "source", F.concat_ws("-", F.lit("C"), "txn_id", "leg.leg").alias("txn_id"), F.col("leg.from").alias("payer_id"), F.col("leg.to").alias("payee_id"), "amount_cents",
+        (F.col("ts") + 3600 * (F.col("leg.leg") + 1)).alias("ts"), "is_cash", "is_wire", "memo",
+    )
+    return rows.unionByName(again).unionByName(round_trip)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments between numbered accounts, one for each line: from the customer's number to the part's, at the shipping time."""
     t = lambda n: table(spark, sf_dir, n)

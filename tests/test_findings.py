@@ -12,6 +12,7 @@ from test_queries import DATA
 
 from remitweave.operators import compliance as c
 from remitweave.plans import catalog
+from remitweave.plans import compliance as screening
 from remitweave.plans.bridge_sql import sql
 from remitweave.sources import bridge
 
@@ -29,15 +30,19 @@ def con():
     return out
 
 
+def planted(query):
+    return sql(screening.SQL[query].replace("FROM flow", "FROM screened"))
+
+
 @pytest.fixture(scope="module")
 def want(con):
-    """(txn_id, rule_id) of all rules; no flow returns, as payers and payees are other parties."""
+    """(txn_id, rule_id) of all rules, over the flows with their planted repeats and round trips."""
     out = set()
     for rule, query in BY_RULE.items():
-        rows = con.execute(catalog.ORACLES[query])
+        rows = con.execute(planted(query))
         at = [d[0] for d in rows.description].index("first_id" if "first_id" in [d[0] for d in rows.description] else "txn_id")
         out |= {(r[at], rule) for r in rows.fetchall()}
-    flow = con.execute(sql("SELECT txn_id, payer_id, payee_id, amount_cents, ts FROM flow")).fetchall()
+    flow = con.execute(sql("SELECT txn_id, payer_id, payee_id, amount_cents, ts FROM screened")).fetchall()
     seen, first = set(), {}
     for r in sorted(flow):
         if r[1:] in seen:
@@ -45,17 +50,24 @@ def want(con):
         seen.add(r[1:])
     for txn, payer, _, _, ts in flow:
         first[payer] = min(first.get(payer, (ts, txn)), (ts, txn))
-    out |= {(first[r[0]][1], "CONCENTRATION_RISK") for r in con.execute(catalog.ORACLES["aml_concentration"]).fetchall()}
-    out |= {(txn, rule) for _, txn, _, rule in con.execute(catalog.ORACLES["aml_sanctions_exact"]).fetchall()}
+    out |= {(first[r[0]][1], "CONCENTRATION_RISK") for r in con.execute(planted("aml_concentration")).fetchall()}
+    out |= {(txn, rule) for _, txn, _, rule in con.execute(planted("aml_sanctions_exact")).fetchall()}
     near = lambda a, b: a != b and a[:2] == b[:2] and abs(len(a) - len(b)) <= 4 and difflib.SequenceMatcher(None, a, b).ratio() > 0.85
     close = {p for r in flow for p in r[1:3] if any(near(p, x) for x in ("U10", "U25", "M3"))}
+    trips = brute_cycles([(r[0], r[1], r[2], r[4]) for r in flow], 30 * c.DAY)
+    out |= {(t, "CIRCULAR_FLOW") for _, ids in trips for t in ids.split(",")}
     return out | {(r[0], "SANCTIONS_POTENTIAL_MATCH") for r in flow if close & set(r[1:3])}
 
 
 def test_disposition_has_all_rules(spark, want):
     found = catalog.QUERIES["aml_disposition"](spark, DATA).collect()
     assert len(found) == len(want) and {(r["txn_id"], r["rule_id"]) for r in found} == want
-    assert all((r["disposition"] == "auto") == (r["rule_id"] == "DUPLICATE_TX") for r in found)
+    assert all((r["disposition"] == "auto") == (r["rule_id"] == "DUPLICATE_TX") == (r["open_question"] is not None) for r in found)
+    why = {"SANCTIONS_HIT": "blocked", "LIMIT_EXCEEDED": "blocked", "SANCTIONS_POTENTIAL_MATCH": "statutory", "CTR_THRESHOLD": "statutory", "CTR_AGGREGATE": "statutory", "CIRCULAR_FLOW": "high_severity",
+           "STRUCTURING_PATTERN": "ambiguous_pattern", "CROSS_BORDER_LIMIT": "ambiguous_pattern", "DORMANT_ACCOUNT_SPIKE": "ambiguous_pattern", "HIGH_VELOCITY": "no_rule_closes_it",
+           "KEYWORD_ALERT": "no_rule_closes_it", "CONCENTRATION_RISK": "no_rule_closes_it", "DUPLICATE_TX": "data_artefact"}
+    assert all(r["reason"] == why[r["rule_id"]] for r in found) and {r["reason"] for r in found} == set(why.values())
+    assert {"DUPLICATE_TX", "CIRCULAR_FLOW"} <= {r["rule_id"] for r in found}
 
 
 def test_review_counts_all_rules(spark, want):
@@ -67,7 +79,7 @@ def test_review_counts_all_rules(spark, want):
 
 def test_safe_leaves_out_all_blocked(spark, con, want):
     blocked = {t for t, rule in want if rule in ("LIMIT_EXCEEDED", "SANCTIONS_HIT")}
-    everyone = {t for (t,) in con.execute(sql("SELECT txn_id FROM flow")).fetchall()}
+    everyone = {t for (t,) in con.execute(sql("SELECT txn_id FROM screened")).fetchall()}
     assert {r["txn_id"] for r in catalog.QUERIES["aml_safe"](spark, DATA).collect()} == everyone - blocked
 
 
