@@ -68,8 +68,8 @@ def per_method(payments: DataFrame) -> DataFrame:
     return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("_fee").alias("expected_fee_cents"), F.sum("_gst").alias("expected_gst_cents"))
 
 
-def audit(payments: DataFrame) -> DataFrame:
-    """Over- and undercharged fees and wrong tax of single payments: txn_id, finding, severity, difference_cents."""
+def audit(payments: DataFrame, *keep: str) -> DataFrame:
+    """Over- and undercharged fees and wrong tax of single payments: txn_id, ``keep``, finding, severity, difference_cents."""
     expected = expected_fee(F.col("amount_cents"), F.col("method"))
     rows = payments.filter("amount_cents > 0 AND fee_cents IS NOT NULL").withColumn("expected", expected).filter("expected IS NOT NULL")
     diff = F.col("fee_cents") - F.col("expected")
@@ -87,7 +87,7 @@ def audit(payments: DataFrame) -> DataFrame:
         ),
     )
     found = F.filter(F.array(fee_finding, tax_finding), lambda x: x.isNotNull())
-    return rows.select("txn_id", F.explode(found).alias("f")).select("txn_id", "f.*")
+    return rows.select("txn_id", *keep, F.explode(found).alias("f")).select("txn_id", *keep, "f.*")
 
 
 def ranked(audited: DataFrame) -> DataFrame:

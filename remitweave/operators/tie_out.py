@@ -88,6 +88,30 @@ def settlement_report(settlements: DataFrame, payments: DataFrame, credits: Data
     )
 
 
+def checks(report: DataFrame, fee_findings: DataFrame, blind: DataFrame) -> DataFrame:
+    """Five independent verdicts on each settlement, and its status: one that contradicts it outweighs findings, which outweigh none.
+
+    report: ``settlement_report``; where its column ``derived`` holds, the net is the sum of the settlement's own lines, which proves nothing by itself: then the bank's credit counts instead.
+    fee_findings: settlement_id, a row for each. blind: settlement_id, agrees (``review.blind_check``), of settlements that were solved without their evidence."""
+    found = fee_findings.groupBy("settlement_id").agg(F.count(F.lit(1)).alias("n_fee_findings"))
+    derived = F.col("derived") if "derived" in report.columns else F.lit(False)
+    rows = (
+        report.join(found, "settlement_id", "left")
+        .join(blind.select("settlement_id", "agrees"), "settlement_id", "left")
+        .withColumn("n_fee_findings", F.coalesce("n_fee_findings", F.lit(0)))
+        .withColumn("tie_out", F.when(derived & (F.col("tie_out") != "no_lines"), "derived").otherwise(F.col("tie_out")))
+        .withColumn("blind_solve", F.when(F.col("agrees"), "agrees").when(~F.col("agrees"), "disagrees").otherwise("not_solved"))
+        .withColumn("books", F.when(F.col("missing_in_books") > 0, "missing_in_books").otherwise("all_booked"))
+        .withColumn("fees", F.when(F.col("n_fee_findings") > 0, "findings").otherwise("clean"))
+    )
+    bad = (F.col("tie_out") == "does_not_tie_out") | (F.col("blind_solve") == "disagrees") | F.col("bank").isin("amount_differs", "not_found")
+    unproven = (F.col("tie_out") == "derived") & (F.col("bank") != "arrived")
+    soft = unproven | (F.col("books") == "missing_in_books") | (F.col("bank") == "amount_only") | (F.col("fees") == "findings")
+    return rows.withColumn("status", F.when(F.col("n_members") == 0, "no_lines").when(bad, "not_verified").when(soft, "verified_with_findings").otherwise("verified")).select(
+        "settlement_id", "n_members", "tie_out", "blind_solve", "bank", "books", "fees", "n_fee_findings", "status"
+    )
+
+
 def report_summary(report: DataFrame) -> DataFrame:
     """Settlements and value by status, one column per bank verdict."""
     return (

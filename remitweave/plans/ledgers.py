@@ -29,9 +29,9 @@ POOL = """pool AS (SELECT source, txn_id, CASE WHEN ok % 5 = 0 THEN '' WHEN ok %
 met AS (SELECT txn_id FROM (SELECT txn_id, ref, amount_cents, row_number() OVER (PARTITION BY ref, amount_cents ORDER BY txn_id) AS k FROM pool WHERE source = 'gateway' AND ref <> '')
         JOIN (SELECT ref, amount_cents, count(*) AS n FROM pool WHERE source <> 'gateway' AND ref <> '' GROUP BY ALL) USING (ref, amount_cents) WHERE k <= n),
 u AS (SELECT *, source || ':' || txn_id AS key FROM pool p WHERE source = 'gateway' AND NOT EXISTS (SELECT 1 FROM met m WHERE m.txn_id = p.txn_id)),
-r1 AS (SELECT ref, amount_cents, count(*) AS n FROM pool WHERE ref <> '' GROUP BY ALL), r2 AS (SELECT ref, count(*) AS n FROM pool WHERE ref <> '' GROUP BY ALL),
+r1 AS (SELECT ref, amount_cents, count(*) AS n, count(DISTINCT source) AS feeds FROM pool WHERE ref <> '' GROUP BY ALL), r2 AS (SELECT ref, count(*) AS n FROM pool WHERE ref <> '' GROUP BY ALL),
 diag AS (SELECT u.*, CASE WHEN r1.n > 1 THEN 'duplicate' WHEN r2.n > 1 THEN 'partial_payment'
-              WHEN EXISTS (SELECT 1 FROM pool p WHERE p.amount_cents = u.amount_cents AND p.source <> u.source AND abs(p.ts - u.ts) <= 259200) THEN 'timing_lag' ELSE 'missing_entry' END AS reason
+              WHEN EXISTS (SELECT 1 FROM pool p WHERE p.amount_cents = u.amount_cents AND p.source <> u.source AND abs(p.ts - u.ts) <= 259200) THEN 'timing_lag' ELSE 'missing_entry' END AS reason, coalesce(r1.n > 1 AND r1.n = r1.feeds, false) AS one_each
          FROM u LEFT JOIN r1 USING (ref, amount_cents) LEFT JOIN r2 USING (ref))
 ---"""
 
@@ -135,10 +135,14 @@ def reference_rates(s, d):
     return g.join(spans, on).select("txn_id", "rate")
 
 
+_CATEGORY = """cat AS (SELECT *, CASE WHEN reason = 'duplicate' AND one_each THEN 'awaiting_payout' WHEN reason = 'duplicate' THEN 'duplicate' WHEN reason = 'partial_payment' THEN 'split_or_partial'
+        WHEN reason = 'timing_lag' THEN 'in_transit' ELSE 'missing_in_books' END AS category FROM diag)
+---"""
+_WITH_CATEGORY = POOL.rstrip().removesuffix("---").rstrip() + ",\n" + _CATEGORY
 SQL = {
     "exception_diagnosis": POOL + "SELECT key, ref, amount_cents, reason FROM diag",
-    "exceptions_by_category": POOL + """SELECT category, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS value_cents FROM (SELECT *, CASE reason WHEN 'duplicate' THEN 'duplicate' WHEN 'partial_payment' THEN 'split_or_partial'
-        WHEN 'timing_lag' THEN 'in_transit' ELSE 'missing_in_books' END AS category FROM diag) GROUP BY ROLLUP (category)""",
+    "exceptions_by_category": _WITH_CATEGORY + "SELECT category, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS value_cents FROM cat GROUP BY ROLLUP (category)",
+    "exception_actions": _WITH_CATEGORY + f"SELECT key, category, owner, next_step FROM cat JOIN (VALUES {', '.join(map(str, exceptions.DESKS))}) AS t(category, owner, next_step) USING (category)",
     "exception_ranking": POOL + """SELECT key, row_number() OVER (PARTITION BY ok ORDER BY amount_cents DESC, key) AS place, round(amount_cents / sum(amount_cents) OVER (PARTITION BY ok), 6)::DOUBLE AS share FROM diag""",
     "exceptions_by_reason": POOL + "SELECT reason, count(*) AS n FROM diag GROUP BY 1",
     "open_items": OPEN + "SELECT item_id, kind, amount_cents, opened::VARCHAR AS opened, status FROM item",
@@ -183,6 +187,7 @@ ORACLES = {k: (sql(v) if not v.startswith("RECURSIVE") else sql(v.removeprefix("
 QUERIES = {
     "exception_diagnosis": lambda s, d: _diagnosed(s, d).select("key", "ref", "amount_cents", "reason"),
     "exceptions_by_category": lambda s, d: exceptions.by_category(_diagnosed(s, d)),
+    "exception_actions": lambda s, d: exceptions.annotate(_diagnosed(s, d)).select("key", "category", "owner", "next_step"),
     "exception_ranking": lambda s, d: exceptions.rank(_diagnosed(s, d), "ok").select("key", "place", "share"),
     "exceptions_by_reason": lambda s, d: _diagnosed(s, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
     "open_items": lambda s, d: open_items(s, d).withColumn("opened", F.col("opened").cast("string")),
