@@ -32,12 +32,15 @@ def tie_out(settlements: DataFrame, payments: DataFrame, *more: Column) -> DataF
 def bank_check(settlements: DataFrame, credits: DataFrame) -> DataFrame:
     """Best bank credit of each settlement: transfer number and amount, number only, amount only, none.
 
-    Transfer numbers, in any form that a narration gives them, are taken out of the descriptions, so that both lookups are equality joins.
+    Transfer numbers, in any form that a narration gives them, are taken out of the descriptions, so that both lookups are equality joins; a credit's id, and its reference if
+    there is one, may be the number too.
     """
     rows = credits.withColumn("found_utr", narration.transfer_number(F.col("description")))
+    whole = [F.nullif(F.regexp_replace(bare(F.col(c)), "^UTR", ""), F.lit("")) for c in ("entry_id", "ref") if c in credits.columns]
+    numbers = F.explode(F.array_distinct(F.array_compact(F.array("found_utr", *whole))))
     by_utr = settlements.join(
-        rows.filter("found_utr IS NOT NULL").select("found_utr", "entry_id", F.col("amount_cents").alias("credit")),
-        F.regexp_replace(F.upper("utr"), "^UTR", "") == F.col("found_utr"),
+        rows.select(numbers.alias("_number"), "entry_id", F.col("amount_cents").alias("credit")),
+        F.nullif(F.regexp_replace(bare(F.col("utr")), "^UTR", ""), F.lit("")) == F.col("_number"),
     ).select("settlement_id", "entry_id", "credit", F.when(F.col("credit") == F.col("net_cents"), 0).otherwise(1).alias("tier"))
     by_amount = settlements.join(
         rows.filter("found_utr IS NULL").select("entry_id", F.col("amount_cents").alias("credit"), F.col("ts")),
@@ -132,13 +135,26 @@ def settlements_from_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("settlement_id").agg(F.sum("net_cents").alias("net_cents"), F.min("utr").alias("utr"), F.max("ts").alias("settled_at"))
 
 
+def bare(text: Column) -> Column:
+    """Letters and digits only, upper case: the form in which names are looked for in texts."""
+    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]", ""))
+
+
 def settlement_credit(settlements: DataFrame, credits: DataFrame) -> DataFrame:
-    """The credit of exactly the net amount on the settlement's day, if there is only one."""
+    """The credit that is a settlement's payout: of those of exactly the net amount on its day the only one whose description (or reference, if there is one) names the
+    settlement, or the only one at all, if none does."""
+    said = F.concat_ws(" ", *[bare(F.col(c)) for c in ("description", "ref") if c in credits.columns])
     same = settlements.join(
-        credits.select("entry_id", "amount_cents", F.col("ts").alias("credited_at")),
+        credits.select("entry_id", "amount_cents", F.col("ts").alias("credited_at"), said.alias("_said")),
         (F.col("net_cents") == F.col("amount_cents")) & F.col("credited_at").between(F.col("settled_at"), F.col("settled_at") + 86400),
+    ).withColumn("_named", F.contains("_said", bare(F.col("settlement_id"))) & (bare(F.col("settlement_id")) != ""))
+    one = F.when(F.col("n_named") == 1, F.col("named_id")).when((F.col("n_named") == 0) & (F.col("n") == 1), F.col("only_id"))
+    return (
+        same.groupBy("settlement_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("_named").alias("n_named"), F.min(F.when(F.col("_named"), F.col("entry_id"))).alias("named_id"), F.min("entry_id").alias("only_id"))
+        .select("settlement_id", one.alias("entry_id"))
+        .filter("entry_id IS NOT NULL")
     )
-    return same.groupBy("settlement_id").agg(F.count(F.lit(1)).alias("n"), F.min("entry_id").alias("entry_id")).filter("n = 1").drop("n")
 
 
 def cash_position(settlements: DataFrame, payments: DataFrame, credits: DataFrame, cleared: DataFrame, held: DataFrame) -> DataFrame:

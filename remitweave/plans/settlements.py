@@ -48,6 +48,12 @@ def _pool(spark, sf_dir):
     return f, linkage.pools(f.settlements, both, "ok")
 
 
+def _credit(f):
+    """Some banks give the settlement's name, in a form of their own."""
+    name = F.concat(F.lit(" STL-"), F.lpad(F.col("ok").cast("string"), 9, "0"))
+    return tie_out.settlement_credit(f.settlements, f.bank.withColumn("description", F.when(F.col("ok") % 7 == 0, F.concat("description", name)).otherwise(F.col("description"))))
+
+
 REPORT = """sums AS (SELECT ok, count(*) AS n_members, CAST(sum(amount_cents) AS BIGINT) AS gross_cents, CAST(sum(amount_cents - fee_cents - gst_cents) AS BIGINT) AS computed FROM gateway GROUP BY ok),
 tie AS (SELECT s.*, coalesce(n_members, 0) AS n_members, gross_cents, computed AS computed_net_cents, coalesce(computed, 0) - net_cents AS residual_cents,
                CASE WHEN n_members IS NULL THEN 'no_lines' WHEN computed = net_cents THEN 'ties_out' ELSE 'does_not_tie_out' END AS tie_out FROM settlement s LEFT JOIN sums USING (ok)),
@@ -89,7 +95,9 @@ SQL = {
         count(*) FILTER (bank = 'amount_only') AS amount_only, count(*) FILTER (bank = 'not_found') AS not_found FROM report GROUP BY status""",
     "settlements_from_lines": """SELECT 'STL' || lpad(ok::VARCHAR, 9, '0') AS settlement_id, CAST(sum(amount_cents - fee_cents - gst_cents) AS BIGINT) AS net_cents,
         'UTR' || lpad(ok::VARCHAR, 12, '0') AS utr, max(ts) AS settled_at FROM gateway GROUP BY ok""",
-    "settlement_credit": """SELECT settlement_id, min(entry_id) AS entry_id FROM settlement JOIN bank b ON net_cents = b.amount_cents AND b.ts BETWEEN settled_at AND settled_at + 86400 GROUP BY 1 HAVING count(*) = 1""",
+    "settlement_credit": """p AS (SELECT settlement_id, entry_id, b.ok % 7 = 0 AND b.ok = s.ok AS named FROM settlement s JOIN bank b ON net_cents = b.amount_cents AND b.ts BETWEEN settled_at AND settled_at + 86400),
+        c AS (SELECT settlement_id, CASE WHEN count(*) FILTER (named) = 1 THEN min(entry_id) FILTER (named) WHEN count(*) FILTER (named) = 0 AND count(*) = 1 THEN min(entry_id) END AS entry_id FROM p GROUP BY 1)
+---SELECT * FROM c WHERE entry_id IS NOT NULL""",
     "cash_position": REPORT + """SELECT bucket, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS total_cents FROM (
         SELECT CASE WHEN pk % 97 = 0 THEN 'compliance_hold' WHEN r.settlement_id IS NOT NULL THEN 'reconciled_settled' ELSE 'gateway_in_transit' END AS bucket, amount_cents
         FROM gateway g LEFT JOIN (SELECT * FROM report WHERE status LIKE 'verified%') r ON r.settlement_id = 'STL' || lpad(g.ok::VARCHAR, 9, '0')
@@ -175,7 +183,7 @@ QUERIES = {
     "books_check": _feeds(lambda f: tie_out.books_check(f.gateway, f.ledger).select("txn_id", "ref", "amount_cents")),
     "report_summary": lambda s, d: tie_out.report_summary(flagship(s, d)),
     "settlements_from_lines": _lines,
-    "settlement_credit": _feeds(lambda f: tie_out.settlement_credit(f.settlements, f.bank), once=True),
+    "settlement_credit": _feeds(_credit, once=True),
     "cash_position": _cash,
     "settlement_journal": _feeds(lambda f: tie_out.journal(f.settlements, f.gateway)),
     "contested_payments": _feeds(lambda f: tie_out.contested(f.claims())),

@@ -75,3 +75,12 @@ def test_five_checks(spark):
         "ok": ("verified", 0, "agrees"), "own": ("not_verified", 0, "not_solved"), "sum": ("verified_with_findings", 0, "not_solved"), "proved": ("verified", 0, "not_solved"), "fee": ("verified_with_findings", 2, "not_solved"),
         "blind": ("not_verified", 0, "disagrees"), "none": ("no_lines", 0, "not_solved"), "books": ("verified_with_findings", 0, "not_solved"),
     }
+
+
+def test_credits_by_name_and_number(spark):
+    settled = spark.createDataFrame([("S-1", 100, 0, "UTR77"), ("S-2", 100, 0, "UTR88"), ("S-3", 300, 0, "UTR99"), ("S-4", 400, 0, "")], "settlement_id string, net_cents long, settled_at long, utr string")
+    rows = [("utr 77", 100, "for s1", "", 5), ("B2", 100, "for S/2", "", 6), ("B3", 300, "CREDIT", "utr-99", 7), ("B4", 400, "CREDIT", None, 7), ("B5", 400, "CREDIT", None, 8)]
+    credits = spark.createDataFrame(rows, "entry_id string, amount_cents long, description string, ref string, ts long")
+    assert {tuple(r) for r in tie_out.settlement_credit(settled, credits).collect()} == {("S-1", "utr 77"), ("S-2", "B2"), ("S-3", "B3")}
+    got = {r.settlement_id: (r.bank, r.entry_id) for r in tie_out.bank_check(settled, credits).collect()}
+    assert got == {"S-1": ("arrived", "utr 77"), "S-2": ("amount_only", "B2"), "S-3": ("arrived", "B3"), "S-4": ("amount_only", "B4")}
