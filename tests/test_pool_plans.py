@@ -28,3 +28,6 @@ def test_signals_and_feed_shuffle_a_pool_once(pool):
     rows = linkage.score(linkage.signals(pool))
     assert rows.count() == 24  # both ends of a window, which lies in two slots
     assert plan(rows).count("Exchange") == 2  # the join's sides
+    feed = linkage.member_feed(rows)
+    assert plan(feed).count("Exchange") == 2 and plan(feed).count("Join") == 1
+    assert {r.source for r in feed.filter("settlement_id = 'MST01C00007'").collect()} == {"g"}
