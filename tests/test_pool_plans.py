@@ -31,3 +31,15 @@ def test_signals_and_feed_shuffle_a_pool_once(pool):
     feed = linkage.member_feed(rows)
     assert plan(feed).count("Exchange") == 2 and plan(feed).count("Join") == 1
     assert {r.source for r in feed.filter("settlement_id = 'MST01C00007'").collect()} == {"g"}
+
+
+def test_unreferenced_reads_a_pool_once(pool):
+    rows = linkage.unreferenced(linkage.anchored(pool))
+    assert plan(rows).count("Exchange") == 2 and plan(rows).count("Join") == 1
+    # 0 and 4 are anchored; 1 and 5, and the books' rows 0, 1, 4 and 5, share an order with them
+    assert sorted(r.txn_key for r in rows.filter("settlement_id = 'MST01C00007'").collect()) == ["e:2", "e:3", "e:6", "e:7", "g:2", "g:3", "g:6", "g:7"]
+
+
+def test_a_key_that_stands_twice_stays_twice(spark):
+    rows = spark.createDataFrame([("S", "a", False, "ORD0001"), ("S", "a", False, "ORD0001"), ("S", "b", True, "ORD0002"), ("S", "c", False, None)], "settlement_id string, txn_key string, anchor boolean, ref string")
+    assert sorted(r.txn_key for r in linkage.unreferenced(rows).collect()) == ["a", "a", "c"]
