@@ -43,3 +43,10 @@ def test_unreferenced_reads_a_pool_once(pool):
 def test_a_key_that_stands_twice_stays_twice(spark):
     rows = spark.createDataFrame([("S", "a", False, "ORD0001"), ("S", "a", False, "ORD0001"), ("S", "b", True, "ORD0002"), ("S", "c", False, None)], "settlement_id string, txn_key string, anchor boolean, ref string")
     assert sorted(r.txn_key for r in linkage.unreferenced(rows).collect()) == ["a", "a", "c"]
+
+
+def test_siblings_are_looked_up_once(spark):
+    rows = spark.createDataFrame([("S1", "a", True), ("S2", "a", False), ("S1", "b", True), ("S2", "b", True), ("S1", "c", False), ("S2", "c", False), ("S2", None, False)], "settlement_id string, txn_key string, anchor boolean")
+    free = review.without_siblings(rows, rows.filter("anchor"))
+    assert sorted((r.settlement_id, r.txn_key or "") for r in free.collect()) == [("S1", "a"), ("S1", "c"), ("S2", ""), ("S2", "c")]
+    assert plan(free).count("Join") == 1
