@@ -3,8 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from remitweave.functions import refs
 from remitweave.operators import exceptions, tie_out, upload
+from remitweave.sources import files, lists
 
 SETTLED = "settlement_id string, net_cents long, declared_deductions long"
 
@@ -84,3 +87,20 @@ def test_credits_by_name_and_number(spark):
     assert {tuple(r) for r in tie_out.settlement_credit(settled, credits).collect()} == {("S-1", "utr 77"), ("S-2", "B2"), ("S-3", "B3")}
     got = {r.settlement_id: (r.bank, r.entry_id) for r in tie_out.bank_check(settled, credits).collect()}
     assert got == {"S-1": ("arrived", "utr 77"), "S-2": ("amount_only", "B2"), "S-3": ("arrived", "B3"), "S-4": ("amount_only", "B4")}
+
+
+def test_free_columns_are_judged_alone_and_without_a_shuffle_of_values(spark, monkeypatch):
+    seen = []
+    whole = lists.column_values
+    monkeypatch.setattr(lists, "column_values", lambda raw, *a, **k: seen.append(whole(raw, *a, **k)) or seen[-1])
+    raw = spark.createDataFrame([("P1", "10.00", "2024-01-05"), ("P2", "7.50", "2024-01-06")], "`Payment ID` string, Betrag string, Tag string")
+    assert lists.inferred_fields(raw, ["amount", "timestamp"], ["Payment ID"]) == {"timestamp": "Tag", "amount": "Betrag"}
+    assert {r["name"] for r in seen[0].collect()} == {"Betrag", "Tag"} and "n_distinct" not in seen[0].columns
+
+
+def test_each_text_of_an_upload_is_parsed_once(spark):
+    raw = spark.createDataFrame([("P1", "(1,234.50)", "2024-01-05T10:00:00Z", "x")], "`Payment ID` string, Amount string, Date string, _time string")
+    typed = files.normalise(raw, "gateway")
+    assert [(r.amount_cents, r.tz_confidence, r.error, r.extra) for r in typed.collect()] == [(-123450, "HIGH", None, {"_time": "x"})]
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("₹$€£¥") == 2 and plan.count("as timestamp") == 2  # decoration of the amount and of the text that an error quotes; with and without an offset
