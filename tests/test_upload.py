@@ -104,3 +104,11 @@ def test_each_text_of_an_upload_is_parsed_once(spark):
     assert [(r.amount_cents, r.tz_confidence, r.error, r.extra) for r in typed.collect()] == [(-123450, "HIGH", None, {"_time": "x"})]
     plan = typed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("₹$€£¥") == 2 and plan.count("as timestamp") == 2  # decoration of the amount and of the text that an error quotes; with and without an offset
+
+
+def test_numbers_without_a_month_or_day_are_not_parsed(spark):
+    rows = [("20240229", True), ("20230229", False), ("29022024", True), ("77712345", False), ("31122023", True), ("20241301", False), ("1999", True), ("2100", False), ("00000101", None)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select("t", "want", refs.date_like(F.col("t")).alias("got"))
+    assert all(r.got == r.want for r in got.collect() if r.want is not None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "[0-9]{4}(0[1-9]|1[0-2])" in plan
