@@ -50,3 +50,14 @@ def test_siblings_are_looked_up_once(spark):
     free = review.without_siblings(rows, rows.filter("anchor"))
     assert sorted((r.settlement_id, r.txn_key or "") for r in free.collect()) == [("S1", "a"), ("S1", "c"), ("S2", ""), ("S2", "c")]
     assert plan(free).count("Join") == 1
+
+
+def test_texts_are_read_before_a_payment_is_copied_to_its_slots(spark):
+    settled = spark.createDataFrame([("MST00001C00001", 864000, 100, 0, 1)], "settlement_id string, settled_at bigint, net_cents bigint, declared_deductions bigint, sk int")
+    paid = spark.createDataFrame([("gateway", "P1", "ORD000000001", "payment", 100, 800000, 1)], "source string, txn_id string, ref string, memo string, amount_cents bigint, ts bigint, sk int")
+    rows = linkage.pools(settled, paid, "sk")
+    assert rows.select("settlement_id", "txn_key").collect() == [("MST00001C00001", "gateway:P1")]
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    copied = next(k for k, line in enumerate(lines) if "Generate explode" in line)
+    read = [k for k, line in enumerate(lines) if "[A-Za-z]+|[0-9]+" in line and "_memo_tokens" in line]
+    assert read and min(read) > copied
