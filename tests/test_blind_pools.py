@@ -1,0 +1,24 @@
+"""Blind checks move truth and proposals once, and count as a full join does."""
+
+from test_pool_plans import plan
+from test_queries import DATA
+
+from remitweave.operators import review
+from remitweave.plans import merchants
+
+
+def test_truth_and_proposals_are_moved_once(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "settlement_id string, txn_key string")
+    truth = frame([("A", "1"), ("A", "2"), ("B", "1"), ("C", "1"), ("D", "1"), ("D", "1")])
+    found = frame([("A", "1"), ("A", "2"), ("B", "2"), ("B", "2"), ("E", "1")])
+    got = review.blind_check(truth, found)
+    want = {"A": (0, 0, True), "B": (1, 2, False), "C": (1, 0, False), "D": (2, 0, False), "E": (0, 1, False)}
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want and got.columns == ["settlement_id", "missing", "extra", "agrees"]
+    assert {r[0] for r in review.blind_check(truth, found, found_only=True).collect()} == {"A", "B", "E"}
+    assert plan(got).count("Exchange") == 1
+
+
+def test_blind_pools_are_solved_where_they_lie(spark):
+    # payments (their settlements are made of them) and settlements to the pools, then what was found and the truth to its settlement
+    text = plan(merchants.blind(spark, DATA))
+    assert "Window" not in text and text.count("Exchange") <= 4
